@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import linededup, packing, quality, secrets, simhash, urls
+from plumbline.llm import decontam, linededup, packing, quality, secrets, simhash, substring, urls
 from plumbline.llm.common import table
 
 
@@ -24,6 +24,10 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), urls.rule_table(spark, urls.RULES))
 
 
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
@@ -32,16 +36,23 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.dedup(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_secret_scans": op3_secret_scans,
     "op6_url_filters": op6_url_filters,
+    "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_quality_rules": op8_quality_rules,
     "op9_line_dedup": op9_line_dedup,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op6_url_filters": urls.ORACLE,
+    "op7_benchmark_decontamination": decontam.ORACLE,
     "op8_quality_rules": quality.ORACLE,
 }
