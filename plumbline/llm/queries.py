@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import decontam, linededup, packing, quality, secrets, simhash, substring, urls
+from plumbline.llm import chat, decontam, langid, linededup, packing, quality, secrets, simhash, substring, urls
 from plumbline.llm.common import table
 
 
@@ -20,6 +20,14 @@ def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.report(table(spark, sf_dir, "conversations"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.report(table(spark, sf_dir, "documents"))
+
+
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), urls.rule_table(spark, urls.RULES))
 
@@ -44,6 +52,8 @@ QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_secret_scans": op3_secret_scans,
+    "op4_chat_formatting": op4_chat_formatting,
+    "op5_language_id": op5_language_id,
     "op6_url_filters": op6_url_filters,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_quality_rules": op8_quality_rules,
