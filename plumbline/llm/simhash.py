@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import U64, materialise, text_slices
+from plumbline.llm.common import U64, materialise, mix, powers, text_slices
 
 SHINGLE_WORDS = 3
 RADIUS = 2
@@ -192,39 +192,48 @@ def key_links(fp: np.ndarray, group: np.ndarray, radius: int, free: list[int] |
     return np.array(links, np.int64).reshape(-1, 2)
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: int, rows: int = 50_000) -> Iterator[pa.Table]:
+    """Tables of whole groups (rows that agree on the first `keys` columns) out of sorted batches;
+    groups of one row are left out. Adds the column `group`, numbers from 0."""
+    held: list[pa.RecordBatch] = []
+    for batch in itertools.chain(batches, [None]):
+        if batch is not None:
+            held.append(batch)
+            if sum(map(len, held)) < rows:
+                continue
+        if not held:
+            return
+        t = pa.Table.from_batches(held)
+        key = np.stack([c.to_numpy() for c in t.columns[:keys]], 1)
+        edge = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
+        cut = len(t) if batch is None else int(edge[-1]) if len(edge) else 0
+        held = t.slice(cut).to_batches()
+        group = np.concatenate(([0], np.cumsum((key[1:cut] != key[: cut - 1]).any(1)))) if cut else np.zeros(0, np.int64)
+        many = np.bincount(group)[group] > 1 if cut else np.zeros(0, bool)
+        if many.any():
+            yield t.slice(0, cut).append_column("group", pa.array(group.astype(np.int64))).filter(pa.array(many))
+
+
 def near_links(nodes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
     """Links (a, b) between distinct fingerprints (column fp) that connect all within the radius."""
     masks = block_masks(blocks, radius)
-    to_signed = lambda m: m - (1 << 64) if m >> 63 else m
-    keys = F.array(*[F.struct(F.lit(i).alias("side"), F.col("fp").bitwiseAND(F.lit(to_signed(m)).cast("long")).alias("bits")) for i, m in enumerate(masks)])
+    keys = F.array(*[F.struct(F.lit(i).alias("side"), F.col("fp").bitwiseAND(F.lit(signed(m)).cast("long")).alias("bits")) for i, m in enumerate(masks)])
     dealt = nodes.select("fp", F.explode(keys).alias("k")).select(F.col("k.side").alias("side"), F.col("k.bits").alias("bits"), "fp")
     dealt = dealt.repartition("side", "bits").sortWithinPartitions("side", "bits", "fp")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((0, 3), np.int64)
-        for batch in itertools.chain(batches, [None]):
-            if batch is not None:
-                held = np.concatenate([held, np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], 1)])
-                if len(held) < 50_000:
-                    continue
-                last = np.flatnonzero((held[1:, :2] != held[:-1, :2]).any(1))
-                if not len(last):
-                    continue
-                now, held = held[: last[-1] + 1], held[last[-1] + 1 :]
-            else:
-                now = held
-            if len(now) < 2:
-                continue
-            group = np.concatenate(([0], np.cumsum((now[1:, :2] != now[:-1, :2]).any(1))))
-            count = np.bincount(group)[group]
-            now, group = now[count > 1], group[count > 1]
-            if len(now):
-                links = key_links(now[:, 2].copy().view(U64), group, radius)
-                yield pa.RecordBatch.from_arrays([pa.array(now[links[:, 0], 2]), pa.array(now[links[:, 1], 2])], names=["a", "b"])
+        for t in whole_groups(batches, 2):
+            fp = t["fp"].to_numpy()
+            links = key_links(fp.view(U64), t["group"].to_numpy(), radius)
+            yield pa.RecordBatch.from_arrays([pa.array(fp[links[:, 0]]), pa.array(fp[links[:, 1]])], names=["a", "b"])
 
     return dealt.mapInArrow(work, "a long, b long").distinct()
 
 
+def signed(bits: int) -> int:
+    return bits - (1 << 64) if bits >> 63 else bits
+
+
 def components(links: DataFrame, label: str = "links") -> DataFrame:
     """node, root (the least node of its component) for all nodes that have links.
 
@@ -249,13 +258,165 @@ def components(links: DataFrame, label: str = "links") -> DataFrame:
         before = now
 
 
+def named(prints: DataFrame, links: DataFrame) -> DataFrame:
+    """prints (doc_id, fp, ...) with component_id: the least doc_id that its node's links reach."""
+    nodes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    roots = components(links)
+    rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return prints.join(rooted.join(names, "root").select("fp", "component_id"), "fp")
+
+
 def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
     """doc_id, fingerprint, component_id: the least doc_id reachable over links within the radius."""
     prints = materialise(fingerprints(docs, shingle_words), "fingerprints")
-    nodes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    roots = components(near_links(nodes, radius), "links")
-    rooted = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(names, "root").select("fp", "component_id")
+    links = near_links(prints.select("fp").distinct(), radius)
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
-    return prints.join(named, "fp").select("doc_id", hexed, "component_id")
+    return named(prints, links).select("doc_id", hexed, "component_id")
+
+
+# Links by similarity. At a similarity of 0.8 fingerprints differ in about ten bits, beyond what
+# block keys can find; there, blocks are bands of least shingle hashes, the bit-sliced comparison
+# runs with a wide radius, and a sketch of the shingle set confirms what is left.
+
+SIMILAR_WORDS = 5
+SIMILARITY = 0.8
+#: Bands of least hashes: two sets of similarity 0.8 share one of 10 bands of 4 with p = 0.995.
+BANDS, BAND_ROWS = 10, 4
+#: One-permutation bins of the sketch, a byte each (0: no shingle).
+BINS = 128
+#: Standard errors around the asked similarity within which an estimate leaves the pair open.
+SLACK = 2.0
+#: Members of one band key that meet in one task; larger ones are dealt out in pairs of tiles.
+TILE = 8192
+
+
+def wide_radius(similarity: float) -> int:
+    """Differing bits that sets of this similarity stay below: the mean and three deviations."""
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(64 * share + 3 * np.sqrt(64 * share * (1 - share)))
+
+
+def sketch(hashes: np.ndarray) -> tuple[bytes, list[int]]:
+    """The bins' least hashes as bytes, and the band keys."""
+    bins = np.full(BINS, ~U64(0))
+    np.minimum.at(bins, (hashes >> U64(57)).astype(np.int64), hashes << U64(7))
+    out = np.where(bins == ~U64(0), 0, mix(bins) % U64(255) + U64(1)).astype(np.uint8)
+    rows = np.full(BANDS * BAND_ROWS, ~U64(0))
+    seeds = mix(np.arange(1, BANDS * BAND_ROWS + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)) | U64(1)
+    for at in range(0, len(hashes), 4096):
+        part = hashes[at : at + 4096]
+        for i, odd in enumerate(seeds):
+            rows[i] = min(rows[i], ((part ^ (part >> U64(32))) * odd).min())
+    keys = mix(rows).reshape(BANDS, BAND_ROWS)
+    total = np.zeros(BANDS, U64)
+    for j, p in enumerate(powers(0xA24BAED4963EE407, BAND_ROWS + 1)[1:]):
+        total += keys[:, j] * p
+    return out.tobytes(), mix(total).view(np.int64).tolist()
+
+
+def sketches(docs: DataFrame, shingle_words: int = SIMILAR_WORDS) -> DataFrame:
+    """doc_id; fp, here a hash of the document's words; bits, the fingerprint; sketch and keys."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in text_slices(batches):
+            rows = []
+            for text in batch.column(1).cast(pa.binary()).to_pylist():
+                hashes = shingle_hashes(text or b"", shingle_words)
+                own = xxhash.xxh64_intdigest(b" ".join((text or b"").lower().split()), SEED)
+                rows.append((signed(own), signed(fingerprint(hashes)), *sketch(np.unique(hashes))))
+            cols = list(zip(*rows, strict=True))
+            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True))], names=["doc_id", "fp", "bits", "sketch", "keys"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(work, "doc_id long, fp long, bits long, sketch binary, keys array<long>")
+
+
+def similar_links(nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """nodes: fp, bits, sketch, keys (distinct). Links (a, b, sure): a forest of those that are sure
+    by their sketches, and the open pairs between its trees."""
+    dealt = nodes.select("fp", "bits", "sketch", F.posexplode("keys").alias("side", "key"))
+    hot = dealt.groupBy("side", "key").agg(F.count("*").alias("n")).where(F.col("n") > TILE)
+    hot = materialise(hot.select(F.col("side").alias("h_side"), F.col("key").alias("h_key"), F.ceil(F.col("n") / TILE).cast("int").alias("tiles")), "hot_keys")
+    own = F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")
+    pairs = F.when(F.col("tiles").isNull(), F.array(F.struct(F.lit(0).alias("t"), F.lit(0).alias("u")))).otherwise(
+        F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda i: F.struct(F.least(i, own).alias("t"), F.greatest(i, own).alias("u")))
+    )
+    dealt = dealt.join(hot, (F.col("side") == F.col("h_side")) & (F.col("key") == F.col("h_key")), "left")
+    dealt = dealt.select("side", "key", F.explode(pairs).alias("p"), "fp", "bits", "sketch").select("side", "key", "p.t", "p.u", "fp", "bits", "sketch")
+    dealt = dealt.repartition("side", "key", "t", "u").sortWithinPartitions("side", "key", "t", "u", "bits", "fp")
+    radius = wide_radius(similarity)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches, 4):
+            fp, marks = t["fp"].to_numpy(), np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint8).reshape(-1, BINS)
+            forest, links, open_pairs = Forest(len(fp)), [], []
+            for i, j in within(t["bits"].to_numpy().view(U64), t["group"].to_numpy(), radius):
+                for at in range(0, len(i), 4096):
+                    a, b = i[at : at + 4096], j[at : at + 4096]
+                    roots = np.fromiter(map(forest.root, np.concatenate([a, b]).tolist()), np.int64, 2 * len(a))
+                    apart = roots[: len(a)] != roots[len(a) :]  # what is connected needs no further link
+                    a, b = a[apart], b[apart]
+                    low, high = alike(marks[a], marks[b], similarity)
+                    links += [(x, y) for x, y in zip(a[low].tolist(), b[low].tolist(), strict=True) if forest.join(x, y)]
+                    open_pairs += zip(a[high & ~low].tolist(), b[high & ~low].tolist(), strict=True)
+            open_pairs = [(x, y) for x, y in open_pairs if forest.root(x) != forest.root(y)]
+            ends = np.array(links + open_pairs, np.int64).reshape(-1, 2)
+            sure = np.arange(len(ends)) < len(links)
+            yield pa.RecordBatch.from_arrays([pa.array(fp[ends].min(1)), pa.array(fp[ends].max(1)), pa.array(sure)], names=["a", "b", "sure"])
+
+    return dealt.mapInArrow(work, "a long, b long, sure boolean").distinct()
+
+
+def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Whether the sketches' share of equal bins, among those that either has, reaches the asked
+    similarity for sure, and whether it may."""
+    used = ((a | b) != 0).sum(1)
+    same = ((a == b) & (a != 0)).sum(1)
+    error = SLACK * np.sqrt(used * similarity * (1 - similarity))
+    return same - error >= similarity * used, same + error >= similarity * used
+
+
+def shingle_sets(docs: DataFrame, wanted: DataFrame, shingle_words: int) -> DataFrame:
+    """fp and the sorted shingle hashes of the wanted (doc_id, fp)."""
+    held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id").select("fp", "text")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in text_slices(batches):
+            texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            own = [signed(xxhash.xxh64_intdigest(b" ".join(t.lower().split()), SEED)) for t in texts]  # a doc_id may have several texts
+            sets = [np.unique(shingle_hashes(t, shingle_words)).tobytes() if o == f else None for t, o, f in zip(texts, own, batch.column(0).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["fp", "hashes"])
+
+    return held.mapInArrow(work, "fp long, hashes binary").where("hashes is not null").dropDuplicates(["fp"])
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have the similarity, counted exactly."""
+    first, second = (sets.select(F.col("fp").alias(x), F.col("hashes").alias(f"set_{x}")) for x in "ab")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                x, y = np.frombuffer(x, U64), np.frombuffer(y, U64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(both >= similarity * (len(x) + len(y) - both))
+            yield batch.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
+
+    return pairs.join(first, "a").join(second, "b").select("a", "b", "set_a", "set_b").mapInArrow(work, "a long, b long")
+
+
+def similar_documents(docs: DataFrame, shingle_words: int = SIMILAR_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id, component_id: the least doc_id reachable over links of at least the similarity."""
+    made = materialise(sketches(docs, shingle_words), "sketches")
+    found = materialise(similar_links(made.select("fp", "bits", "sketch", "keys").distinct(), similarity), "similar_links")
+    unsure = found.groupBy("a", "b").agg(F.max("sure").alias("sure")).where("not sure").select("a", "b")
+    asked = unsure.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    wanted = made.join(asked, "fp", "left_semi").where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
+    checked = confirmed(unsure, shingle_sets(docs, wanted, shingle_words), similarity)
+    return named(made.select("doc_id", "fp"), found.where("sure").select("a", "b").unionAll(checked)).select("doc_id", "component_id")
