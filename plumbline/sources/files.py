@@ -22,7 +22,7 @@ def gather(df: DataFrame, wanted: DataFrame, key: str, columns: list[str]) -> Da
 
 def json_documents(spark: SparkSession, path: str, glob: str = "*.json") -> DataFrame:
     """path, text, doc (VARIANT, null where the text is not JSON): a row a file."""
-    raw = spark.read.option("wholetext", True).option("pathGlobFilter", glob).option("recursiveFileLookup", True).text(path)
+    raw = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", True).text(path, wholetext=True)
     return raw.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"), F.try_parse_json("value").alias("doc"))
 
 
@@ -45,7 +45,7 @@ def numeric_cells(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
 def banked_numbers(spark: SparkSession, path: str) -> DataFrame:
     """path, value of every number below a folder: JSON by its leaves (or as text where it does not
     parse), delimited files by cells, anything else by a pattern."""
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    raw = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     is_json = F.col("path").endswith(".json") & F.try_parse_json("text").isNotNull()
     from_json = numeric_leaves(raw.where(is_json), ["path"], "text")
     rest = raw.where(~is_json)
@@ -163,14 +163,14 @@ def calendar(parts: list[Column]) -> Column:
 
 def file_lines(spark: SparkSession, path: str) -> DataFrame:
     """path, n (line number), line: whole files, since records span lines."""
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path)
     return raw.select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "\r?\n")).alias("n", "line"))
 
 
 def navigation_records(spark: SparkSession, path: str, system: str = "G") -> DataFrame:
     """One row a broadcast record: prn, toc, and NAV_FIELDS. A record is a head line and seven more;
     lines find their record by their head's number, no window over the file."""
-    raw = spark.read.option("wholetext", True).text(path).select(F.split("value", "\r?\n").alias("l"))
+    raw = spark.read.text(path, wholetext=True).select(F.split("value", "\r?\n").alias("l"))
     head = rf"^{system}(\d\d) (\d{{4}}) (\d\d) (\d\d) (\d\d) (\d\d) (\d\d)"
     starts = F.filter(F.sequence(F.lit(0), F.size("l") - 8), lambda i: F.get(F.col("l"), i).rlike(head))
     rec = raw.where(F.size("l") >= 8).select(F.explode(F.transform(starts, lambda i: F.slice("l", i + 1, 8))).alias("r"))
@@ -182,7 +182,7 @@ def navigation_records(spark: SparkSession, path: str, system: str = "G") -> Dat
 
 def precise_orbits(spark: SparkSession, path: str, system: str = "G") -> DataFrame:
     """prn, sow, x, y, z (metres), clk (seconds) of an SP3 file; a missing clock drops the row."""
-    raw = spark.read.option("wholetext", True).text(path).select(F.split("value", r"\n(?=\*)").alias("epochs"))
+    raw = spark.read.text(path, wholetext=True).select(F.split("value", r"\n(?=\*)").alias("epochs"))
     e = raw.select(F.explode("epochs").alias("e")).where(F.col("e").startswith("*")).select(F.split("e", "\r?\n").alias("l"))
     t = F.split(F.trim(F.substring(F.col("l")[0], 2, 80)), r"\s+")
     rows = e.select(calendar([t[i] if i < 5 else t[5].cast("double") for i in range(6)]).alias("ts"), F.explode(F.slice("l", 2, F.greatest(F.size("l") - 1, F.lit(0)))).alias("r")).where(F.col("r").startswith("P" + system))
