@@ -42,7 +42,7 @@ def winnow(grams: np.ndarray, doc_of: np.ndarray, valid: np.ndarray, span: int)
     hashes = np.where(valid, grams, ~U64(0))
     best = np.arange(n)
     low = hashes.copy()
-    for j in range(1, span):
+    for j in range(1, min(span, n)):
         other = hashes[j:]
         less = other < low[: n - j]
         best[: n - j][less] = np.flatnonzero(less) + j

@@ -235,7 +235,7 @@ def signed(bits: int) -> int:
 
 
 def components(links: DataFrame, label: str = "links") -> DataFrame:
-    """node, root (the least node of its component) for all nodes that have links.
+    """node, root (the least node of its component) for all linked nodes but the roots.
 
     Alternating large-star and small-star steps: each is one pre-aggregated shuffle by node, and
     the number of rounds grows with the logarithm of the component's size. Each round is written
