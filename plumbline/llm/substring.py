@@ -6,7 +6,7 @@ from there on are in both spans. So hashes of 7-word windows at covered places a
 every shared span of 13 words.
 
 Pass A sends each slice's anchor hashes, once per slice, to buckets by their high bits; a bucket
-returns a bit map of the anchors that came more than once, a fixed-size map in all. Pass B extends:
+returns a bit map of the anchors that came more than once, a map of bounded size in all. Pass B extends:
 13-word windows around anchors in the map are hashed, and texts that have some are kept by slice.
 Pass C gives each window hash its least document, sent once per slice; each slice gets back the
 hashes whose least document is smaller, and marks the words of its documents. The bit map only
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -28,14 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import U64, WHITE, Words, class_table, marked, materialise, text_bytes, text_slices
+from plumbline.llm.common import U64, WHITE, Words, class_table, marked, materialise, mix, text_bytes, text_slices
 
 WINDOW = 13
 PERIOD = 7
 COVER = (0, 1, 3)  # fixed values: the perfect difference cover modulo 7
 GRAM = WINDOW - PERIOD + 1
-#: Bits of the map of shared anchors: a fixed size of 32 MiB, whatever the corpus.
-MAP_BITS = 28
+#: Bits of the map of shared anchors (a power of two): 128 MiB at most, whatever the corpus.
+MAP_BITS = 30
+MAX_PROBES = 6
 CLASSES = class_table(WHITE, lower=False)
 LAST_ID = (1 << 63) - 1
 
@@ -86,32 +88,61 @@ def filled(ids: pa.Array) -> np.ndarray:
     return ids.fill_null(LAST_ID).to_numpy(zero_copy_only=False)
 
 
-def shared_map(docs: DataFrame) -> bytes:
-    """A bit for each anchor hash's high bits, set if the anchor came more than once."""
+class SharedMap(NamedTuple):
+    """Bits by bucket, and how many of them each anchor of a bucket sets."""
+
+    bits: bytes
+    probes: np.ndarray
+
+    @property
+    def width(self) -> int:
+        return len(self.bits) * 8 // len(self.probes)
+
+    def holds(self, hashes: np.ndarray) -> np.ndarray:
+        bits, width = np.frombuffer(self.bits, np.uint8), self.width
+        bucket = (hashes >> U64(64 - len(self.probes).bit_length() + 1)).astype(np.int64)
+        out = np.ones(len(hashes), bool)
+        for j in range(int(self.probes.max(initial=0))):
+            at = bucket * width + slots(hashes, j, width)
+            out &= (self.probes[bucket] <= j) | ((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)
+        return out
+
+
+def slots(hashes: np.ndarray, probe: int, width: int) -> np.ndarray:
+    return (mix(hashes ^ U64(probe + 1)) >> U64(64 - width.bit_length() + 1)).astype(np.int64)
+
+
+def map_bits(buckets: int) -> int:
+    """The map's size as a power of two: with the input, up to 128 MiB."""
+    return min(MAP_BITS, max(20, buckets.bit_length() + 21))
+
+
+def shared_map(docs: DataFrame) -> SharedMap:
+    """The anchors that came more than once, as a bit map of bounded size (a Bloom filter cut by
+    buckets): each bucket sets as many bits an anchor as its own count makes best."""
     buckets = buckets_for(docs)
-    bits = max(MAP_BITS, buckets.bit_length() + 2)
-    width = 1 << (bits - buckets.bit_length() + 1)
+    width = 1 << (map_bits(buckets) - buckets.bit_length() + 1)
 
     def work(group: pd.DataFrame) -> pd.DataFrame:
         hashes = np.sort(np.frombuffer(b"".join(group["hashes"]), U64))
-        again = hashes[1:][hashes[1:] == hashes[:-1]]
-        place = (again >> U64(64 - bits)).astype(np.int64) % width
+        again = np.unique(hashes[1:][hashes[1:] == hashes[:-1]])
+        probes = int(np.clip(round(0.69 * width / max(1, len(again))), 1, MAX_PROBES))
         held = np.zeros(width, np.uint8)
-        held[place] = 1
-        return pd.DataFrame({"bucket": [group["bucket"].iloc[0]], "bits": [np.packbits(held, bitorder="little").tobytes()]})
+        for j in range(probes):
+            held[slots(again, j, width)] = 1
+        return pd.DataFrame({"bucket": [group["bucket"].iloc[0]], "probes": [probes], "bits": [np.packbits(held, bitorder="little").tobytes()]})
 
-    out = np.zeros((buckets, width // 8), np.uint8)
-    for row in send_anchors(docs, buckets).groupBy("bucket").applyInPandas(work, "bucket long, bits binary").collect():  # 32 MiB in all
-        out[row["bucket"]] = np.frombuffer(row["bits"], np.uint8)
-    return out.tobytes()
+    out, probes = np.zeros((buckets, width // 8), np.uint8), np.ones(buckets, np.int64)
+    found = send_anchors(docs, buckets).groupBy("bucket").applyInPandas(work, "bucket long, probes long, bits binary")
+    for row in found.collect():  # the map, no more than its fixed size
+        out[row["bucket"]], probes[row["bucket"]] = np.frombuffer(row["bits"], np.uint8), row["probes"]
+    return SharedMap(out.tobytes(), probes)
 
 
-def windows(w: Words, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def windows(w: Words, shared: SharedMap) -> tuple[np.ndarray, np.ndarray]:
     """Places and hashes of the windows that hold an anchor of the map."""
     at, hashes = anchors(w)
-    size = (len(bits) * 8).bit_length() - 1
-    slot = (hashes >> U64(64 - size)).astype(np.int64)
-    at = at[(bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1]
+    at = at[shared.holds(hashes)]
     grams, valid = w.grams(WINDOW)
     n = len(w.start)
     near = marked(n, np.maximum(at - (WINDOW - GRAM), 0), at + 1) if n else np.zeros(0, bool)
@@ -133,14 +164,14 @@ def result(ids: pa.Array, texts: list[bytes], removed: list[np.ndarray | None])
     return [ids, pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(shas)]
 
 
-def candidates(docs: DataFrame, bits: bytes) -> DataFrame:
+def candidates(docs: DataFrame, shared: SharedMap) -> DataFrame:
     """Per document its default result, or (where it has candidate windows) slice and text."""
-    held = docs.sparkSession.sparkContext.broadcast(bits)
+    held = docs.sparkSession.sparkContext.broadcast(shared)  # MAP_BITS at most
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        shared, part = np.frombuffer(held.value, np.uint8), TaskContext.get().partitionId()
+        shared, part = held.value, TaskContext.get().partitionId()
         for k, batch in enumerate(text_slices(batches)):
             w = Words(*text_bytes(batch.column(1)), CLASSES)
             at, _ = windows(w, shared)
@@ -162,12 +193,12 @@ def unit_windows(group_ids: np.ndarray, col: pa.Array) -> tuple[Words, np.ndarra
     return w, at, grams[at], np.repeat(group_ids, np.diff(w.doc))[at]
 
 
-def send_windows(units: DataFrame, bits: bytes, buckets: int) -> DataFrame:
+def send_windows(units: DataFrame, shared: SharedMap, buckets: int) -> DataFrame:
     """By slice and bucket: window hashes, each once, and the least document of each."""
-    held = units.sparkSession.sparkContext.broadcast(bits)
+    held = units.sparkSession.sparkContext.broadcast(shared)  # MAP_BITS at most
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shared = np.frombuffer(held.value, np.uint8)
+        shared = held.value
         for batch in text_slices(batches):
             unit = batch.column(2).to_numpy()
             for lo, hi in runs_of(unit):
@@ -232,10 +263,10 @@ def settle(texts: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
 def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    bits = shared_map(docs)
-    judged = materialise(candidates(docs, bits), "candidates")
+    shared = shared_map(docs)
+    judged = materialise(candidates(docs, shared), "candidates")
     names = [c.split()[0] for c in OUT.split(", ")]
     units = judged.where("unit is not null").select("doc_id", "text", "unit")
-    answers = send_windows(units, bits, buckets_for(docs)).groupBy("bucket").applyInPandas(least_document, "unit long, hashes binary, least binary")
+    answers = send_windows(units, shared, buckets_for(docs)).groupBy("bucket").applyInPandas(least_document, "unit long, hashes binary, least binary")
     settled = units.groupBy("unit").cogroup(answers.groupBy("unit")).applyInPandas(settle, OUT)
     return judged.where("unit is null").select(*names).unionAll(settled)
