@@ -127,6 +127,14 @@ def src10(spark, d):
     return files.truncated_lines(spark, put_binary(spark, f"{fresh_path(spark, 'zst')}/cut.zst", raw[: len(raw) * 3 // 4])).select("line_no", "line")
 
 
+@query("src11_navigation_products", "SELECT CAST(user_id % 32 + 1 AS INTEGER) AS prn, CAST((date_diff('day', DATE '1980-01-06', CAST(ts AS DATE)) % 7) * 86400 + hour(ts) * 3600 + minute(ts) * 60 + second(ts) AS DOUBLE) AS sow, round(value, 6) AS bias FROM events")
+def src11(spark, d):
+    path = fresh_path(spark, "clk")
+    e = read(spark, d, "events")
+    e.select(F.format_string("AS G%02d  %s  2   %.6f", F.col("user_id") % 32 + 1, F.date_format("ts", "yyyy MM dd HH mm ss.SSSSSS"), F.col("value")).alias("value")).write.text(path)
+    return files.precise_clocks(spark, path).select("prn", "sow", F.round("bias", 6).alias("bias"))
+
+
 @query("src12_pinned_sources", "SELECT 'r' || CAST(r_regionkey AS VARCHAR) || '.txt' AS name, CASE r_regionkey WHEN 1 THEN 'content differs' WHEN 2 THEN 'not pinned' END AS problem FROM region WHERE r_regionkey IN (1, 2) UNION ALL SELECT 'r9.txt', 'missing'")
 def src12(spark, d):
     path = fresh_path(spark, "pins")
