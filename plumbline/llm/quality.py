@@ -46,7 +46,7 @@ def repeat_words(w: Column, k: int = REPEAT_WINDOW) -> Column:
     hashes = once(w, lambda v: F.transform(F.sequence(F.lit(1), F.size(v) - (k - 1)), lambda i: F.xxhash64(F.slice(v, i, k))))
 
     def covered(h: Column) -> Column:
-        ordered = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+        ordered = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
 
         def places(s: Column) -> Column:
             size = F.size(s)
@@ -54,7 +54,7 @@ def repeat_words(w: Column, k: int = REPEAT_WINDOW) -> Column:
                 F.transform(s, lambda x, j: F.when(((j > 0) & (F.get(s, F.greatest(j - 1, F.lit(0)))["h"] == x["h"])) | ((j < size - 1) & (F.get(s, F.least(j + 1, size - 1))["h"] == x["h"])), x["i"])),
                 lambda x: x.isNotNull(),
             )
-            return F.array_sort(twice)
+            return F.sort_array(twice)
 
         start = F.struct(F.lit(0).alias("upto"), F.lit(0).alias("n"))
         return once(ordered, lambda s: F.aggregate(places(s), start, lambda a, p: F.struct((p + k).alias("upto"), (a["n"] + p + k - F.greatest(p, a["upto"])).alias("n")), lambda a: a["n"]))
@@ -74,10 +74,13 @@ def normal_line(line: Column) -> Column:
 
 def boilerplate_words(docs: DataFrame, max_documents: int) -> DataFrame:
     """By document (doc_id, source, text hash): words in lines above the limit of its host."""
-    lines = F.transform(lines_of(F.col("text")), lambda x: F.struct(F.xxhash64(normal_line(x)).alias("line"), F.size(words(x)).alias("n"), F.left(F.md5(normal_line(x)), F.lit(16)).alias("sign")))
-    hashed = docs.select("doc_id", "source", F.xxhash64("text").alias("text_hash"), lines.alias("lines")).where(F.size("lines") > 0)
-    rows = hashed.select("doc_id", "source", "text_hash", F.array_min(F.transform("lines", lambda x: x["sign"])).alias("signature"), F.posexplode("lines").alias("pos", "l"))
-    rows = rows.select("doc_id", "source", "text_hash", "signature", "pos", "l.line", "l.n")
+    def entry(x: Column) -> Column:
+        return once(normal_line(x), lambda k: F.struct(F.xxhash64(k).alias("line"), F.size(words(x)).alias("n"), F.left(F.md5(k), F.lit(16)).alias("sign")))
+
+    hashed = docs.select("doc_id", "source", F.xxhash64("text").alias("text_hash"), F.transform(lines_of(F.col("text")), entry).alias("lines"))
+    # the outer form: of the inner one Spark derives filters that would compute the lines again
+    rows = hashed.select("doc_id", "source", "text_hash", F.array_min(F.transform("lines", lambda x: x["sign"])).alias("signature"), F.posexplode_outer("lines").alias("pos", "l"))
+    rows = materialise(rows.select("doc_id", "source", "text_hash", "signature", "pos", "l.line", "l.n").where("pos is not null"), "lines")
     seen = rows.groupBy("source", "line", "signature").agg(F.lit(1).alias("one"))
     common = seen.groupBy("source", "line").agg(F.count("*").alias("documents")).where(F.col("documents") > max_documents)
     # few lines recur that often; written out, their size is known and Spark joins accordingly
@@ -99,7 +102,7 @@ def judge(docs: DataFrame, max_documents: int = MAX_DOCUMENTS, max_removed_perce
         F.length(F.translate(full, WHITE_CHARS, "")).cast("long").alias("word_chars"),
         (F.length(full) - F.length(F.translate(full, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         once(lines_of(full), lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-        once(words(full), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeat_words(w).alias("n_repeat_words"))).alias("w"),
+        F.explode_outer(F.transform(F.array(words(full)), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeat_words(w).alias("n_repeat_words")))).alias("w"),
     )
     joined = stats.join(per_line, F.col("doc_id").eqNullSafe(F.col("b_id")) & F.col("source").eqNullSafe(F.col("b_source")) & (F.col("text_hash") == F.col("b_hash")), "left")
     n, repeated = F.col("w.n_words"), F.col("w.n_repeat_words")
