@@ -109,8 +109,9 @@ def candidates(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     wanted = docs.sparkSession.createDataFrame(terms, "kind string, branch int, trigram string, needed int")
     vocabulary = F.array(*[F.lit(t) for t in sorted({t[2] for t in terms})])
     own = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.lower("text").alias("low"))
-    found = F.explode(F.transform(F.array(F.col("low")), lambda low: F.filter(vocabulary, lambda t: F.contains(low, t)))[0])
-    postings = own.select("doc_id", "text_hash", found.alias("trigram"))
+    found = F.transform(F.array(F.col("low")), lambda low: F.filter(vocabulary, lambda t: F.contains(low, t)))[0]
+    # the outer form: of the inner one Spark derives filters that would search the texts again
+    postings = own.select("doc_id", "text_hash", F.explode_outer(found).alias("trigram")).where("trigram is not null")
     met = postings.join(F.broadcast(wanted), "trigram")  # a row for each trigram of the rules
     branches = met.groupBy("doc_id", "text_hash", "kind", "branch").agg(F.count_distinct("trigram").alias("n"), F.max("needed").alias("needed"))
     return branches.where("n = needed").groupBy("doc_id", "text_hash").agg(F.collect_set("kind").alias("kinds"))
