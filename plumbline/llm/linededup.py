@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import materialise
-from plumbline.llm.quality import once, words
+from plumbline.llm.quality import once
 
 LEADING_TOKENS = 3
 MIN_TOKENS = 3
@@ -35,20 +35,28 @@ FIELD = "<*>"
 
 
 def tokens(line: Column) -> Column:
-    return F.transform(words(line), lambda t: F.when(t.rlike("[0-9]"), F.lit(FIELD)).otherwise(t))
+    """What single spaces part (a literal split, without a regular expression)."""
+    return F.filter(F.split(line, " "), lambda w: w != "")
+
+
+def masked(t: Column) -> Column:
+    return F.transform(t, lambda w: F.when(w.rlike("[0-9]"), F.lit(FIELD)).otherwise(w))
 
 
 def leaf_of(t: Column) -> Column:
-    return F.xxhash64(F.size(t), F.slice(t, 1, LEADING_TOKENS))
+    return F.xxhash64(F.size(t), masked(F.slice(t, 1, LEADING_TOKENS)))
+
 
+def placed_lines(docs: DataFrame, with_line: bool) -> DataFrame:
+    """doc_id, text_hash, signature, line_no, leaf (and the line) of lines with enough tokens."""
+    def entry(x: Column, i: Column) -> Column:
+        return once(tokens(x), lambda t: F.struct(i.alias("line_no"), F.size(t).alias("n"), F.xxhash64(x).alias("sign"), leaf_of(t).alias("leaf"), *([x.alias("line")] if with_line else [])))
 
-def placed_lines(docs: DataFrame, with_tokens: bool) -> DataFrame:
-    """doc_id, text_hash, signature, line_no, leaf (and tokens) of lines with enough tokens."""
-    entry = lambda x, i: once(tokens(x), lambda t: F.struct(i.alias("line_no"), F.size(t).alias("n"), F.xxhash64(t).alias("sign"), leaf_of(t).alias("leaf"), *([t.alias("tokens")] if with_tokens else [])))
     lines = F.filter(F.transform(F.split("text", "\n"), entry), lambda e: e["n"] > 0)
-    held = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), lines.alias("lines")).where(F.size("lines") > 0)
-    rows = held.select("doc_id", "text_hash", F.array_min(F.transform("lines", lambda e: e["sign"])).alias("signature"), F.explode(F.filter("lines", lambda e: e["n"] >= MIN_TOKENS)).alias("e"))
-    return rows.select("doc_id", "text_hash", "signature", "e.line_no", "e.leaf", *(["e.tokens"] if with_tokens else []))
+    held = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), lines.alias("lines"))
+    # the outer form: of the inner one Spark derives filters that would compute the lines again
+    rows = held.select("doc_id", "text_hash", F.array_min(F.transform("lines", lambda e: e["sign"])).alias("signature"), F.explode_outer("lines").alias("e")).where(F.col("e.n") >= MIN_TOKENS)
+    return rows.select("doc_id", "text_hash", "signature", "e.line_no", "e.leaf", *(["e.line"] if with_line else []))
 
 
 def recurring(rows: DataFrame, key: str, min_documents: int) -> DataFrame:
@@ -59,7 +67,8 @@ def recurring(rows: DataFrame, key: str, min_documents: int) -> DataFrame:
 def dropped_lines(docs: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
     """doc_id, text_hash and the sorted places of the lines to drop."""
     leaves = materialise(recurring(placed_lines(docs, False), "leaf", min_documents), "leaves")
-    reached = materialise(placed_lines(docs, True).join(leaves, "leaf", "left_semi"), "leaf_lines")
+    reached = placed_lines(docs, True).join(leaves, "leaf", "left_semi")
+    reached = materialise(reached.select("doc_id", "text_hash", "signature", "line_no", "leaf", masked(tokens(F.col("line"))).alias("tokens")), "leaf_lines")
     total = reached.groupBy("leaf").agg(F.count("*").alias("total"))
     at_place = reached.select("leaf", F.posexplode("tokens").alias("place", "token")).groupBy("leaf", "place", "token").agg(F.count("*").alias("n"))
     constant = at_place.join(total, "leaf").where((F.col("n") * 100 >= F.col("total") * CONSTANT_PERCENT) & (F.col("n") > 1))
