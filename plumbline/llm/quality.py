@@ -3,9 +3,9 @@
 Per text: word, symbol, repeated-line and repeated-window counts. Across documents: normalised
 lines are hashed and their distinct documents counted per host (the `source` column); lines in more
 than `max_documents` documents of a host are boilerplate there, and a document whose words lie
-mostly in such lines is depleted and rejected. A document counts by its signature (the least hash
-of its lines), so exact and near copies of one text are one document: copies are for the
-deduplicators, not for this rule.
+mostly in such lines is depleted and rejected. A document counts by the hash of its whole text, so
+exact copies of one text are one document (they are for the deduplicators, not for this rule) and
+different texts never are, however many lines they share.
 
 Defined cases: null text has no words (base_failed, not kept); null source is a host of its own;
 repeated rows give equal rows; ties do not matter (counts only); extra columns are ignored; an empty
@@ -75,13 +75,13 @@ def normal_line(line: Column) -> Column:
 def boilerplate_words(docs: DataFrame, max_documents: int) -> DataFrame:
     """By document (doc_id, source, text hash): words in lines above the limit of its host."""
     def entry(x: Column) -> Column:
-        return once(normal_line(x), lambda k: F.struct(F.xxhash64(k).alias("line"), F.size(words(x)).alias("n"), F.left(F.md5(k), F.lit(16)).alias("sign")))
+        return once(normal_line(x), lambda k: F.struct(F.xxhash64(k).alias("line"), F.size(words(x)).alias("n")))
 
     hashed = docs.select("doc_id", "source", F.xxhash64("text").alias("text_hash"), F.transform(lines_of(F.col("text")), entry).alias("lines"))
     # the outer form: of the inner one Spark derives filters that would compute the lines again
-    rows = hashed.select("doc_id", "source", "text_hash", F.array_min(F.transform("lines", lambda x: x["sign"])).alias("signature"), F.posexplode_outer("lines").alias("pos", "l"))
-    rows = materialise(rows.select("doc_id", "source", "text_hash", "signature", "pos", "l.line", "l.n").where("pos is not null"), "lines")
-    seen = rows.groupBy("source", "line", "signature").agg(F.lit(1).alias("one"))
+    rows = hashed.select("doc_id", "source", "text_hash", F.posexplode_outer("lines").alias("pos", "l"))
+    rows = materialise(rows.select("doc_id", "source", "text_hash", "pos", "l.line", "l.n").where("pos is not null"), "lines")
+    seen = rows.groupBy("source", "line", "text_hash").agg(F.lit(1).alias("one"))
     common = seen.groupBy("source", "line").agg(F.count("*").alias("documents")).where(F.col("documents") > max_documents)
     # few lines recur that often; written out, their size is known and Spark joins accordingly
     common = materialise(common.select(F.col("source").alias("c_source"), F.col("line").alias("c_line")), "common_lines")

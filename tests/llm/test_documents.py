@@ -297,6 +297,16 @@ def test_depleted_documents_go_and_copies_stay(spark):
     assert not any(got[i] for i in range(40)) and all(got[100 + i] for i in range(50)) and got[200]
 
 
+def test_depleted_documents_with_many_shared_lines_go(spark):
+    letters = lambda i: "".join("abcdefghij"[int(c)] for c in f"{i:03d}")
+    common = [" ".join(f"{w}{letters(k)}" for w in ("shared", "line", "of", "words", "alone")) for k in range(10)]
+    rows = [(i, "\n".join([f"own text {letters(i)} of this very page that is here only"] + common), "h") for i in range(200)]
+    rows += [(300 + i, f"own text {letters(i)} of this very page that is here only and ends so", "h") for i in range(10)]
+    got = {r["doc_id"]: r for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert not any(r["base_failed"] for r in got.values())
+    assert not any(got[i]["kept"] for i in range(200)) and all(got[300 + i]["kept"] for i in range(10))
+
+
 # 9
 
 
