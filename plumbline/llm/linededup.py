@@ -5,8 +5,8 @@ digit counts as a field. In a leaf that lines of enough documents reach, a token
 its place among the leaf's lines is a variable field; what stays is the line's template. Templates
 that recur in enough documents are dropped from all of them.
 
-Documents are counted by signature (least hash of a document's lines), so exact and near copies of
-one text count once and keep their text: whole copies are for the near-duplicate operators.
+Documents are counted by the hash of their text: exact copies of one text count once and keep their
+text (whole copies are for the near-duplicate operators), and different texts never count as one.
 
 Defined cases: null text stays null, without lines; lines without a word are kept and counted in
 n_lines as all others; a line of fewer than `min_tokens` words is never a template; repeated rows
@@ -48,27 +48,27 @@ def leaf_of(t: Column) -> Column:
 
 
 def placed_lines(docs: DataFrame, with_line: bool) -> DataFrame:
-    """doc_id, text_hash, signature, line_no, leaf (and the line) of lines with enough tokens."""
+    """doc_id, text_hash, line_no, leaf (and the line) of lines with enough tokens."""
     def entry(x: Column, i: Column) -> Column:
-        return once(tokens(x), lambda t: F.struct(i.alias("line_no"), F.size(t).alias("n"), F.xxhash64(x).alias("sign"), leaf_of(t).alias("leaf"), *([x.alias("line")] if with_line else [])))
+        return once(tokens(x), lambda t: F.struct(i.alias("line_no"), F.size(t).alias("n"), leaf_of(t).alias("leaf"), *([x.alias("line")] if with_line else [])))
 
     lines = F.filter(F.transform(F.split("text", "\n"), entry), lambda e: e["n"] > 0)
     held = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), lines.alias("lines"))
     # the outer form: of the inner one Spark derives filters that would compute the lines again
-    rows = held.select("doc_id", "text_hash", F.array_min(F.transform("lines", lambda e: e["sign"])).alias("signature"), F.explode_outer("lines").alias("e")).where(F.col("e.n") >= MIN_TOKENS)
-    return rows.select("doc_id", "text_hash", "signature", "e.line_no", "e.leaf", *(["e.line"] if with_line else []))
+    rows = held.select("doc_id", "text_hash", F.explode_outer("lines").alias("e")).where(F.col("e.n") >= MIN_TOKENS)
+    return rows.select("doc_id", "text_hash", "e.line_no", "e.leaf", *(["e.line"] if with_line else []))
 
 
 def recurring(rows: DataFrame, key: str, min_documents: int) -> DataFrame:
-    """Keys that rows of enough distinct documents have; a hot key is spread by signature first."""
-    return rows.groupBy(key, "signature").agg(F.lit(1).alias("one")).groupBy(key).agg(F.count("*").alias("documents")).where(F.col("documents") >= min_documents).select(key)
+    """Keys that rows of enough distinct documents have; a hot key is spread by text first."""
+    return rows.groupBy(key, "text_hash").agg(F.lit(1).alias("one")).groupBy(key).agg(F.count("*").alias("documents")).where(F.col("documents") >= min_documents).select(key)
 
 
 def dropped_lines(docs: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
     """doc_id, text_hash and the sorted places of the lines to drop."""
     leaves = materialise(recurring(placed_lines(docs, False), "leaf", min_documents), "leaves")
     reached = placed_lines(docs, True).join(leaves, "leaf", "left_semi")
-    reached = materialise(reached.select("doc_id", "text_hash", "signature", "line_no", "leaf", masked(tokens(F.col("line"))).alias("tokens")), "leaf_lines")
+    reached = materialise(reached.select("doc_id", "text_hash", "line_no", "leaf", masked(tokens(F.col("line"))).alias("tokens")), "leaf_lines")
     total = reached.groupBy("leaf").agg(F.count("*").alias("total"))
     at_place = reached.select("leaf", F.posexplode("tokens").alias("place", "token")).groupBy("leaf", "place", "token").agg(F.count("*").alias("n"))
     constant = at_place.join(total, "leaf").where((F.col("n") * 100 >= F.col("total") * CONSTANT_PERCENT) & (F.col("n") > 1))
@@ -78,9 +78,9 @@ def dropped_lines(docs: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFr
     by_leaf = by_leaf.select("leaf", F.transform(F.sequence(F.lit(0), width - 1), lambda i: F.coalesce(F.try_element_at("m", i), F.array().cast("array<string>"))).alias("constants"))
     by_leaf = materialise(by_leaf, "leaf_constants")
     form = F.transform("tokens", lambda t, i: F.when(F.array_contains(F.coalesce(F.get("constants", i), F.array().cast("array<string>")), t), t).otherwise(F.lit(None)))
-    formed = reached.join(by_leaf, "leaf").select("doc_id", "text_hash", "signature", "line_no", "leaf", form.alias("form"))
+    formed = reached.join(by_leaf, "leaf").select("doc_id", "text_hash", "line_no", "leaf", form.alias("form"))
     fixed = F.size(F.array_compact("form")) * 100 >= F.size("form") * MIN_CONSTANT_PERCENT
-    formed = formed.where(fixed).select("doc_id", "text_hash", "signature", "line_no", F.xxhash64("leaf", F.transform("form", lambda t: F.coalesce(t, F.lit("\n")))).alias("template"))
+    formed = formed.where(fixed).select("doc_id", "text_hash", "line_no", F.xxhash64("leaf", F.transform("form", lambda t: F.coalesce(t, F.lit("\n")))).alias("template"))
     templates = materialise(recurring(formed, "template", min_documents), "templates")
     return formed.join(templates, "template", "left_semi").groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("line_no")).alias("dropped"))
 

@@ -324,6 +324,18 @@ def test_templates_go_and_prose_and_copies_stay(spark, texts):
     assert got[900]["text"] is None and got[901]["text"] == "" and got[902]["text"] == "\n\n" and got[902]["n_lines"] == 3
 
 
+def letters(i):
+    return "".join("abcdefghij"[int(c)] for c in f"{i:03d}")
+
+
+def test_a_block_shared_by_different_documents_goes(spark):
+    block = [" ".join(f"{w}{letters(k)}" for w in ("terms", "of", "this", "licence")) for k in range(20)]
+    own = [[" ".join(f"{w}{letters(i)}{x}" for w in ("own", "words", "here", "only")) for x in "xyz"] for i in range(100)]
+    rows = [(i, "\n".join(x + block)) for i, x in enumerate(own)]
+    got = {r["doc_id"]: r["text"] for r in linededup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: "\n".join(x) for i, x in enumerate(own)}
+
+
 # 10
 
 
