@@ -1,9 +1,14 @@
 """Line dedup by a log-template tree, in DataFrame operations only.
 
 A line goes down a tree of fixed depth: token count, then its leading tokens, where a token with a
-digit counts as a field. In a leaf that lines of enough documents reach, a token that is rare at
-its place among the leaf's lines is a variable field; what stays is the line's template. Templates
-that recur in enough documents are dropped from all of them.
+digit counts as a field. In a leaf that lines of enough documents reach, a token that too few
+documents have at its place is a variable field; what stays is the line's template. Templates that
+recur in enough documents are dropped from all of them, and so are lines that recur as they are.
+
+How many documents make a token a constant is not one number: a low bar lets frequent field values
+split a template, a high one loses the rare templates of a large leaf. So a line has a template for
+each bar of a ladder (`min_documents`, doubled as often as its tokens reach, and CONSTANT_PERCENT of
+the leaf's documents), and goes if any of them recurs.
 
 Documents are counted by the hash of their text: exact copies of one text count once and keep their
 text (whole copies are for the near-duplicate operators), and different texts never count as one.
@@ -26,8 +31,7 @@ LEADING_TOKENS = 3
 MIN_TOKENS = 3
 #: Distinct documents in which a template must recur.
 MIN_DOCUMENTS = 20
-#: A token is a constant at its place if this share of the leaf's lines has it there, so a place
-#: has at most 100 / 5 constants.
+#: The ladder's relative bar: a share of the leaf's documents.
 CONSTANT_PERCENT = 5
 #: A template needs this share of constants among its tokens.
 MIN_CONSTANT_PERCENT = 80
@@ -59,30 +63,41 @@ def placed_lines(docs: DataFrame, with_line: bool) -> DataFrame:
     return rows.select("doc_id", "text_hash", "e.line_no", "e.leaf", *(["e.line"] if with_line else []))
 
 
-def recurring(rows: DataFrame, key: str, min_documents: int) -> DataFrame:
-    """Keys that rows of enough distinct documents have; a hot key is spread by text first."""
-    return rows.groupBy(key, "text_hash").agg(F.lit(1).alias("one")).groupBy(key).agg(F.count("*").alias("documents")).where(F.col("documents") >= min_documents).select(key)
+def counted(rows: DataFrame, key: str, min_documents: int) -> DataFrame:
+    """Keys that rows of enough distinct documents have, and how many; a hot key is spread by text first."""
+    return rows.groupBy(key, "text_hash").agg(F.lit(1).alias("one")).groupBy(key).agg(F.count("*").alias("documents")).where(F.col("documents") >= min_documents)
+
+
+def line_templates(constants: Column, n: Column, relative: Column, min_documents: int) -> Column:
+    """The templates of a line of n tokens, by the ladder's bars. constants: structs (place, key,
+    documents) in order of place, where a key stands for a leaf, a place and a token."""
+    most = F.array_max(F.transform(constants, lambda c: c["documents"]))
+    doublings = F.floor(F.log2(most / F.lit(min_documents)) + 1e-9).cast("int")
+    bars = F.transform(F.sequence(F.lit(0), doublings), lambda j: F.lit(min_documents) * F.pow(F.lit(2.0), j))
+    bars = F.concat(bars, F.array(F.greatest(relative.cast("double"), F.lit(float(min_documents)))))
+    forms = F.transform(bars, lambda bar: F.transform(F.filter(constants, lambda c: c["documents"] >= bar), lambda c: c["key"]))
+    fixed = F.filter(forms, lambda f: F.size(f) * 100 >= n * MIN_CONSTANT_PERCENT)
+    return F.array_distinct(F.transform(fixed, lambda f: F.xxhash64(n, f)))
 
 
 def dropped_lines(docs: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
     """doc_id, text_hash and the sorted places of the lines to drop."""
-    leaves = materialise(recurring(placed_lines(docs, False), "leaf", min_documents), "leaves")
-    reached = placed_lines(docs, True).join(leaves, "leaf", "left_semi")
-    reached = materialise(reached.select("doc_id", "text_hash", "line_no", "leaf", masked(tokens(F.col("line"))).alias("tokens")), "leaf_lines")
-    total = reached.groupBy("leaf").agg(F.count("*").alias("total"))
-    at_place = reached.select("leaf", F.posexplode("tokens").alias("place", "token")).groupBy("leaf", "place", "token").agg(F.count("*").alias("n"))
-    constant = at_place.join(total, "leaf").where((F.col("n") * 100 >= F.col("total") * CONSTANT_PERCENT) & (F.col("n") > 1))
-    by_place = constant.groupBy("leaf", "place").agg(F.collect_list("token").alias("constants"))
-    by_leaf = by_place.groupBy("leaf").agg(F.map_from_entries(F.collect_list(F.struct("place", "constants"))).alias("m"))
-    width = F.array_max(F.map_keys("m")) + 1
-    by_leaf = by_leaf.select("leaf", F.transform(F.sequence(F.lit(0), width - 1), lambda i: F.coalesce(F.try_element_at("m", i), F.array().cast("array<string>"))).alias("constants"))
-    by_leaf = materialise(by_leaf, "leaf_constants")
-    form = F.transform("tokens", lambda t, i: F.when(F.array_contains(F.coalesce(F.get("constants", i), F.array().cast("array<string>")), t), t).otherwise(F.lit(None)))
-    formed = reached.join(by_leaf, "leaf").select("doc_id", "text_hash", "line_no", "leaf", form.alias("form"))
-    fixed = F.size(F.array_compact("form")) * 100 >= F.size("form") * MIN_CONSTANT_PERCENT
-    formed = formed.where(fixed).select("doc_id", "text_hash", "line_no", F.xxhash64("leaf", F.transform("form", lambda t: F.coalesce(t, F.lit("\n")))).alias("template"))
-    templates = materialise(recurring(formed, "template", min_documents), "templates")
-    return formed.join(templates, "template", "left_semi").groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("line_no")).alias("dropped"))
+    leaves = materialise(counted(placed_lines(docs, False), "leaf", min_documents), "leaves")
+    reached = placed_lines(docs, True).join(leaves, "leaf").withColumnRenamed("documents", "leaf_documents")
+    t = tokens(F.col("line"))
+    reached = materialise(reached.select("doc_id", "text_hash", "line_no", "leaf", "leaf_documents", F.xxhash64(t).alias("exact"), masked(t).alias("tokens")), "leaf_lines")
+    line = ["doc_id", "text_hash", "line_no", "leaf_documents", "n"]
+    placed = reached.select("doc_id", "text_hash", "line_no", "leaf_documents", "leaf", F.size("tokens").alias("n"), F.posexplode("tokens").alias("place", "token"))
+    placed = placed.select(*line, "place", F.xxhash64("leaf", "place", "token").alias("key"))
+    constant = materialise(counted(placed, "key", min_documents), "constants")
+    # a set, as rows may be there twice; places that have no constant are fields
+    by_line = placed.join(constant, "key").groupBy(*line).agg(F.array_sort(F.collect_set(F.struct("place", "key", "documents"))).alias("constants"))
+    by_line = by_line.where(F.size("constants") * 100 >= F.col("n") * MIN_CONSTANT_PERCENT)
+    templates = line_templates(F.col("constants"), F.col("n"), F.col("leaf_documents") * CONSTANT_PERCENT / 100, min_documents)
+    formed = by_line.select("doc_id", "text_hash", "line_no", F.explode(templates).alias("template"))
+    formed = materialise(formed.unionAll(reached.select("doc_id", "text_hash", "line_no", F.col("exact").alias("template"))), "line_templates")
+    found = materialise(counted(formed, "template", min_documents).select("template"), "templates")
+    return formed.join(found, "template", "left_semi").groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("line_no")).alias("dropped"))
 
 
 def dedup(docs: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame:

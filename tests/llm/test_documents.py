@@ -336,6 +336,26 @@ def test_a_block_shared_by_different_documents_goes(spark):
     assert got == {i: "\n".join(x) for i, x in enumerate(own)}
 
 
+@pytest.mark.parametrize("others", [0, 1000])
+def test_a_recurring_line_goes_however_large_its_leaf(spark, others):
+    line = "we value your feedback warmly"
+    rows = [(i, f"own text {letters(i)} stands alone here\n{line}") for i in range(25)]
+    rows += [(100 + i, f"we value your {letters(i)} z{letters(i)}z") for i in range(others)]
+    rows += [(2000, "\n".join(f"we value your x{letters(i)} y{letters(i)}" for i in range(others)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in linededup.dedup(df).collect()}
+    assert [got[i]["text"] for i in range(25)] == [rows[i][1].split("\n")[0] for i in range(25)]
+    assert all(r["n_dropped"] == 0 for i, r in got.items() if i >= 100)
+
+
+def test_frequent_field_values_do_not_split_a_template(spark):
+    # 40 names in 25 documents each, 40 ends in 25 each: no pair of them recurs, 8 of 10 tokens do
+    line = lambda i: f"the visit of user {letters(i % 40)} has ended well by {letters(500 + i // 25)}"
+    rows = [(i, f"own text {letters(i)} stands alone here\n{line(i)}") for i in range(1000)]
+    got = linededup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r["n_dropped"] == 1 and "visit" not in r["text"] for r in got)
+
+
 # 10
 
 
