@@ -33,7 +33,8 @@ MIN_TOKENS = 3
 MIN_DOCUMENTS = 20
 #: The ladder's relative bar: a share of the leaf's documents.
 CONSTANT_PERCENT = 5
-#: A template needs this share of constants among its tokens.
+#: A template needs this share of constants among its tokens without a digit, and more constants
+#: than fields among all of them. Tokens with a digit are fields, never constants.
 MIN_CONSTANT_PERCENT = 80
 FIELD = "<*>"
 
@@ -68,15 +69,19 @@ def counted(rows: DataFrame, key: str, min_documents: int) -> DataFrame:
     return rows.groupBy(key, "text_hash").agg(F.lit(1).alias("one")).groupBy(key).agg(F.count("*").alias("documents")).where(F.col("documents") >= min_documents)
 
 
-def line_templates(constants: Column, n: Column, relative: Column, min_documents: int) -> Column:
-    """The templates of a line of n tokens, by the ladder's bars. constants: structs (place, key,
+def mostly_fixed(constants: Column, n: Column, n_words: Column) -> Column:
+    return (F.size(constants) * 100 >= n_words * MIN_CONSTANT_PERCENT) & (F.size(constants) * 2 > n)
+
+
+def line_templates(constants: Column, n: Column, n_words: Column, relative: Column, min_documents: int) -> Column:
+    """The templates of a line of n tokens, n_words without a digit, by the ladder's bars. constants: structs (place, key,
     documents) in order of place, where a key stands for a leaf, a place and a token."""
     most = F.array_max(F.transform(constants, lambda c: c["documents"]))
     doublings = F.floor(F.log2(most / F.lit(min_documents)) + 1e-9).cast("int")
     bars = F.transform(F.sequence(F.lit(0), doublings), lambda j: F.lit(min_documents) * F.pow(F.lit(2.0), j))
     bars = F.concat(bars, F.array(F.greatest(relative.cast("double"), F.lit(float(min_documents)))))
     forms = F.transform(bars, lambda bar: F.transform(F.filter(constants, lambda c: c["documents"] >= bar), lambda c: c["key"]))
-    fixed = F.filter(forms, lambda f: F.size(f) * 100 >= n * MIN_CONSTANT_PERCENT)
+    fixed = F.filter(forms, lambda f: mostly_fixed(f, n, n_words))
     return F.array_distinct(F.transform(fixed, lambda f: F.xxhash64(n, f)))
 
 
@@ -86,14 +91,15 @@ def dropped_lines(docs: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFr
     reached = placed_lines(docs, True).join(leaves, "leaf").withColumnRenamed("documents", "leaf_documents")
     t = tokens(F.col("line"))
     reached = materialise(reached.select("doc_id", "text_hash", "line_no", "leaf", "leaf_documents", F.xxhash64(t).alias("exact"), masked(t).alias("tokens")), "leaf_lines")
-    line = ["doc_id", "text_hash", "line_no", "leaf_documents", "n"]
-    placed = reached.select("doc_id", "text_hash", "line_no", "leaf_documents", "leaf", F.size("tokens").alias("n"), F.posexplode("tokens").alias("place", "token"))
-    placed = placed.select(*line, "place", F.xxhash64("leaf", "place", "token").alias("key"))
+    line = ["doc_id", "text_hash", "line_no", "leaf_documents", "n", "n_words"]
+    n_words = F.size(F.filter("tokens", lambda w: w != FIELD))
+    placed = reached.select("doc_id", "text_hash", "line_no", "leaf_documents", "leaf", F.size("tokens").alias("n"), n_words.alias("n_words"), F.posexplode("tokens").alias("place", "token"))
+    placed = placed.where(F.col("token") != FIELD).select(*line, "place", F.xxhash64("leaf", "place", "token").alias("key"))
     constant = materialise(counted(placed, "key", min_documents), "constants")
     # a set, as rows may be there twice; places that have no constant are fields
     by_line = placed.join(constant, "key").groupBy(*line).agg(F.array_sort(F.collect_set(F.struct("place", "key", "documents"))).alias("constants"))
-    by_line = by_line.where(F.size("constants") * 100 >= F.col("n") * MIN_CONSTANT_PERCENT)
-    templates = line_templates(F.col("constants"), F.col("n"), F.col("leaf_documents") * CONSTANT_PERCENT / 100, min_documents)
+    by_line = by_line.where(mostly_fixed(F.col("constants"), F.col("n"), F.col("n_words")))
+    templates = line_templates(F.col("constants"), F.col("n"), F.col("n_words"), F.col("leaf_documents") * CONSTANT_PERCENT / 100, min_documents)
     formed = by_line.select("doc_id", "text_hash", "line_no", F.explode(templates).alias("template"))
     formed = materialise(formed.unionAll(reached.select("doc_id", "text_hash", "line_no", F.col("exact").alias("template"))), "line_templates")
     found = materialise(counted(formed, "template", min_documents).select("template"), "templates")

@@ -356,6 +356,12 @@ def test_frequent_field_values_do_not_split_a_template(spark):
     assert all(r["n_dropped"] == 1 and "visit" not in r["text"] for r in got)
 
 
+def test_rows_of_numbers_are_no_template(spark):
+    rows = [(i, f"{i} {i * 7}.5 2024-01-{i:02d} {i + 3}\nscore {i} of{i} {i * 9}\n1 2 3 4") for i in range(1, 41)]
+    got = {r["doc_id"]: r["text"] for r in linededup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: t.removesuffix("\n1 2 3 4") for i, t in rows}  # that one recurs as it is
+
+
 # 10
 
 
