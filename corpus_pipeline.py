@@ -18,8 +18,10 @@ MIN_LANGUAGE_SHARE = 1 / 3
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters, or of which no language has a third, go."""
-    judged = langid.identify(docs, langid.learn(langid.learn_rows(docs)))
-    # where no row has a label there is nothing to judge by, and only texts without letters go
+    model = langid.learn(langid.learn_rows(docs))
+    if not model.languages:  # nothing to judge by, so only texts without letters go
+        return langid.lettered(docs)
+    judged = langid.identify(docs, model)
     known = (F.col("lang_pred") != langid.UND) & (F.col("score") >= MIN_LANGUAGE_SHARE)
     return judged.where(known).select(*docs.columns)
 

@@ -48,6 +48,7 @@ SCRIPTS = [
 ]
 STARTS = [s for s, _ in SCRIPTS]
 FIND = regex.compile(r"\p{L}[\p{L}\p{M}]*").findall
+LETTER = regex.compile(r"\p{L}").search
 
 
 class Model(NamedTuple):
@@ -216,6 +217,17 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return own.mapInArrow(work, T.StructType([*own.schema.fields, *added.fields]))
 
 
+def lettered(docs: DataFrame) -> DataFrame:
+    """The rows whose text has a letter, by the same words that identify() labels."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches):
+            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            yield batch.filter(pa.array([bool(t and LETTER(t)) for t in texts], pa.bool_()))
+
+    return docs.mapInArrow(work, docs.schema)
+
+
 def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.pmod(F.crc32(F.encode(F.col(doc_id).cast("string"), "UTF-8")), F.lit(4)) == 2, F.lit(False))
 

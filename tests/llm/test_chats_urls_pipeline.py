@@ -101,6 +101,13 @@ def test_stages_keep_columns_and_clean_documents(spark, docs, texts, small):
     assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} == clean
 
 
+def test_without_labels_only_texts_without_letters_go(spark, docs, texts):
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    out = corpus_pipeline.language_id(spark, unlabelled, "")
+    assert out.columns == docs.columns
+    assert sorted(r["doc_id"] for r in out.select("doc_id").collect()) == [i for i, t in enumerate(texts) if any(c.isalpha() for c in t or "")]
+
+
 def test_run_is_the_stages_in_turn(spark, small):
     assert corpus_pipeline.run(spark, small).count() > 0
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "simhash_near_dedup", "benchmark_decontamination", "best_fit_packing"]
