@@ -292,9 +292,10 @@ TILE = 8192
 
 
 def wide_radius(similarity: float) -> int:
-    """Differing bits that sets of this similarity stay below: the mean and three deviations."""
+    """Differing bits that sets of this similarity stay below: the mean and seven deviations, so that
+    the comparison leaves work out but no pair at the bar."""
     share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(64 * share + 3 * np.sqrt(64 * share * (1 - share)))
+    return int(64 * share + 7 * np.sqrt(64 * share * (1 - share)))
 
 
 def sketch(hashes: np.ndarray) -> tuple[bytes, list[int]]:
@@ -316,7 +317,8 @@ def sketch(hashes: np.ndarray) -> tuple[bytes, list[int]]:
 
 
 def sketches(docs: DataFrame, shingle_words: int = SIMILAR_WORDS) -> DataFrame:
-    """doc_id; fp, here a hash of the document's words; bits, the fingerprint; sketch and keys."""
+    """doc_id; fp, here a hash of the document's words; bits, the fingerprint of the shingle set
+    (repeats would move it away from sets that are alike); sketch and keys."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -324,9 +326,9 @@ def sketches(docs: DataFrame, shingle_words: int = SIMILAR_WORDS) -> DataFrame:
         for batch in text_slices(batches):
             rows = []
             for text in batch.column(1).cast(pa.binary()).to_pylist():
-                hashes = shingle_hashes(text or b"", shingle_words)
+                hashes = np.unique(shingle_hashes(text or b"", shingle_words))
                 own = xxhash.xxh64_intdigest(b" ".join((text or b"").lower().split()), SEED)
-                rows.append((signed(own), signed(fingerprint(hashes)), *sketch(np.unique(hashes))))
+                rows.append((signed(own), signed(fingerprint(hashes)), *sketch(hashes)))
             cols = list(zip(*rows, strict=True))
             kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True))], names=["doc_id", "fp", "bits", "sketch", "keys"])

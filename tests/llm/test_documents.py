@@ -1,6 +1,7 @@
 """The document operators against brute force on a fixture with odd texts, copies and passages."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -165,6 +166,18 @@ def test_similar_documents_at_the_bar(docs, texts, tile, monkeypatch):
     assert got == {i: links.root(i) for i in range(len(texts))}
 
 
+def test_repeated_lines_lose_no_similar_pair(spark):
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    rows = []
+    for i in range(0, 60, 2):
+        line, base = " ".join(word() for _ in range(20)), " ".join(word() for _ in range(700))
+        rows += [(i, f"{base}\n{line}"), (i + 1, base + f"\n{line}" * 50)]
+    assert all(len(shingle_set(a) & shingle_set(b)) >= 0.95 * len(shingle_set(a) | shingle_set(b)) for (_, a), (_, b) in zip(rows[::2], rows[1::2], strict=True))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 for i in range(60)}
+
+
 # 3
 
 
