@@ -281,12 +281,15 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, radius:
 
 SIMILAR_WORDS = 5
 SIMILARITY = 0.8
-#: Bands of least hashes: two sets of similarity 0.8 share one of 10 bands of 4 with p = 0.995.
-BANDS, BAND_ROWS = 10, 4
+#: Bands of least hashes: two sets of similarity 0.8 share one of 20 bands of 4 with p = 0.99997.
+BANDS, BAND_ROWS = 20, 4
 #: One-permutation bins of the sketch, a byte each (0: no shingle).
 BINS = 128
-#: Standard errors around the asked similarity within which an estimate leaves the pair open.
-SLACK = 2.0
+#: Standard errors around the asked similarity within which an estimate leaves the pair open, to be
+#: counted exactly.
+SLACK = 5.0
+#: Rounds in which a spanning forest of the open pairs is counted; then all that are still apart are.
+FOREST_ROUNDS = 2
 #: Members of one band key that meet in one task; larger ones are dealt out in pairs of tiles.
 TILE = 8192
 
@@ -336,38 +339,48 @@ def sketches(docs: DataFrame, shingle_words: int = SIMILAR_WORDS) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(work, "doc_id long, fp long, bits long, sketch binary, keys array<long>")
 
 
-def similar_links(nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """nodes: fp, bits, sketch, keys (distinct). Links (a, b, sure): a forest of those that are sure
-    by their sketches, and the open pairs between its trees."""
-    dealt = nodes.select("fp", "bits", "sketch", F.posexplode("keys").alias("side", "key"))
-    hot = dealt.groupBy("side", "key").agg(F.count("*").alias("n")).where(F.col("n") > TILE)
-    hot = materialise(hot.select(F.col("side").alias("h_side"), F.col("key").alias("h_key"), F.ceil(F.col("n") / TILE).cast("int").alias("tiles")), "hot_keys")
+def similar_links(nodes: DataFrame, similarity: float = SIMILARITY, every: bool = False) -> DataFrame:
+    """nodes: fp, root (what confirmed links reach from it), bits, sketch, keys (distinct). Links
+    (a, b, sure) between nodes of different roots: a forest of those that are sure by their sketches,
+    and of the open pairs between its trees another forest or, if asked, every one."""
+    dealt = nodes.select("fp", "root", F.posexplode("keys").alias("side", "key"))
+    mixed = dealt.groupBy("side", "key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    mixed = materialise(mixed.select(F.col("side").alias("h_side"), F.col("key").alias("h_key"), F.ceil(F.col("n") / TILE).cast("int").alias("tiles")), "mixed_keys")
     own = F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")
-    pairs = F.when(F.col("tiles").isNull(), F.array(F.struct(F.lit(0).alias("t"), F.lit(0).alias("u")))).otherwise(
-        F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda i: F.struct(F.least(i, own).alias("t"), F.greatest(i, own).alias("u")))
-    )
-    dealt = dealt.join(hot, (F.col("side") == F.col("h_side")) & (F.col("key") == F.col("h_key")), "left")
-    dealt = dealt.select("side", "key", F.explode(pairs).alias("p"), "fp", "bits", "sketch").select("side", "key", "p.t", "p.u", "fp", "bits", "sketch")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda i: F.struct(F.least(i, own).alias("t"), F.greatest(i, own).alias("u")))
+    dealt = dealt.join(mixed, (F.col("side") == F.col("h_side")) & (F.col("key") == F.col("h_key")))
+    dealt = dealt.select("side", "key", F.explode(pairs).alias("p"), "fp").join(nodes.select("fp", "root", "bits", "sketch"), "fp")
+    dealt = dealt.select("side", "key", "p.t", "p.u", "fp", "root", "bits", "sketch")
     dealt = dealt.repartition("side", "key", "t", "u").sortWithinPartitions("side", "key", "t", "u", "bits", "fp")
     radius = wide_radius(similarity)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(fp: np.ndarray, pairs: list[tuple[int, int]], sure: bool) -> pa.RecordBatch:
+            ends = fp[np.array(pairs, np.int64).reshape(-1, 2)]
+            return pa.RecordBatch.from_arrays([pa.array(ends.min(1)), pa.array(ends.max(1)), pa.array(np.full(len(ends), sure))], names=["a", "b", "sure"])
+
         for t in whole_groups(batches, 4):
             fp, marks = t["fp"].to_numpy(), np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint8).reshape(-1, BINS)
-            forest, links, open_pairs = Forest(len(fp)), [], []
+            forest, maybe, links = Forest(len(fp)), Forest(len(fp)), []  # maybe: with the open pairs
+            _, first, of = np.unique(t["root"].to_numpy(), return_index=True, return_inverse=True)
+            for x, y in enumerate(first[of].tolist()):
+                forest.join(x, y), maybe.join(x, y)
             for i, j in within(t["bits"].to_numpy().view(U64), t["group"].to_numpy(), radius):
                 for at in range(0, len(i), 4096):
                     a, b = i[at : at + 4096], j[at : at + 4096]
-                    roots = np.fromiter(map(forest.root, np.concatenate([a, b]).tolist()), np.int64, 2 * len(a))
+                    held = forest if every else maybe
+                    roots = np.fromiter(map(held.root, np.concatenate([a, b]).tolist()), np.int64, 2 * len(a))
                     apart = roots[: len(a)] != roots[len(a) :]  # what is connected needs no further link
                     a, b = a[apart], b[apart]
                     low, high = alike(marks[a], marks[b], similarity)
-                    links += [(x, y) for x, y in zip(a[low].tolist(), b[low].tolist(), strict=True) if forest.join(x, y)]
-                    open_pairs += zip(a[high & ~low].tolist(), b[high & ~low].tolist(), strict=True)
-            open_pairs = [(x, y) for x, y in open_pairs if forest.root(x) != forest.root(y)]
-            ends = np.array(links + open_pairs, np.int64).reshape(-1, 2)
-            sure = np.arange(len(ends)) < len(links)
-            yield pa.RecordBatch.from_arrays([pa.array(fp[ends].min(1)), pa.array(fp[ends].max(1)), pa.array(sure)], names=["a", "b", "sure"])
+                    for x, y in zip(a[low].tolist(), b[low].tolist(), strict=True):
+                        maybe.join(x, y)
+                        if forest.join(x, y):
+                            links.append((x, y))
+                    again = zip(a[high & ~low].tolist(), b[high & ~low].tolist(), strict=True)
+                    if found := [(x, y) for x, y in again if (forest.root(x) != forest.root(y) if every else maybe.join(x, y))]:
+                        yield out(fp, found, False)
+            yield out(fp, links, True)
 
     return dealt.mapInArrow(work, "a long, b long, sure boolean").distinct()
 
@@ -416,9 +429,19 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
 def similar_documents(docs: DataFrame, shingle_words: int = SIMILAR_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, component_id: the least doc_id reachable over links of at least the similarity."""
     made = materialise(sketches(docs, shingle_words), "sketches")
-    found = materialise(similar_links(made.select("fp", "bits", "sketch", "keys").distinct(), similarity), "similar_links")
-    unsure = found.groupBy("a", "b").agg(F.max("sure").alias("sure")).where("not sure").select("a", "b")
-    asked = unsure.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    wanted = made.join(asked, "fp", "left_semi").where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
-    checked = confirmed(unsure, shingle_sets(docs, wanted, shingle_words), similarity)
-    return named(made.select("doc_id", "fp"), found.where("sure").select("a", "b").unionAll(checked)).select("doc_id", "component_id")
+    nodes = made.select("fp", "bits", "sketch", "keys").dropDuplicates(["fp"])
+    rooted, links, asked = nodes.withColumn("root", F.col("fp")), None, None
+    for step in range(FOREST_ROUNDS + 1):
+        found = materialise(similar_links(rooted, similarity, step == FOREST_ROUNDS), "similar_links")
+        unsure = found.groupBy("a", "b").agg(F.max("sure").alias("sure")).where("not sure").select("a", "b")
+        unsure = unsure if asked is None else unsure.join(asked, ["a", "b"], "left_anti")  # what was counted stays as it was
+        ends = unsure.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+        wanted = made.join(ends, "fp", "left_semi").where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
+        checked = materialise(confirmed(unsure, shingle_sets(docs, wanted, shingle_words), similarity), "confirmed")
+        new = found.where("sure").select("a", "b").unionAll(checked)
+        links, asked = (new, unsure) if links is None else (links.unionAll(new), asked.unionAll(unsure))
+        if step == FOREST_ROUNDS or not found.limit(1).count():
+            break
+        roots = materialise(components(links), "roots")
+        rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "bits", "sketch", "keys")
+    return named(made.select("doc_id", "fp"), links).select("doc_id", "component_id")

@@ -178,6 +178,21 @@ def test_repeated_lines_lose_no_similar_pair(spark):
     assert got == {i: i - i % 2 for i in range(60)}
 
 
+def test_pairs_at_the_bar_are_counted_exactly(spark):
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    rows, alike = [], []
+    for i in range(0, 800, 2):  # 300 shingles each; up to 36 and from 30 changed on, the similarity is 0.79 to 0.82
+        base, k = [word() for _ in range(304)], 30 + i % 8
+        other = base[: 304 - k] + [word() for _ in range(k)]
+        rows += [(i, " ".join(base)), (i + 1, " ".join(other))]
+        a, b = shingle_set(rows[-2][1]), shingle_set(rows[-1][1])
+        alike.append(len(a & b) >= 0.8 * len(a | b))
+    assert 100 < sum(alike) < 300
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[2 * i + 1] == 2 * i for i in range(400)] == alike
+
+
 # 3
 
 
