@@ -8,6 +8,7 @@ all words of the batch at once. Batches are cut by bytes, so memory does not fol
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -22,11 +23,17 @@ U64 = np.uint64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set."""
+    """The folder that driver and executors share. Where none is set, one of its own on a single
+    machine (as in tests), and an error on a cluster."""
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        path = held.get() if held.isDefined() else os.path.join(tempfile.gettempdir(), "checkpoints")
+        if held.isDefined():
+            path = held.get()
+        elif re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            path = os.path.join(tempfile.gettempdir(), f"checkpoints-{os.getuid()}")
+        else:
+            raise ValueError("spark.checkpoint.dir is not set: it has to name a folder that all executors share")
     return path.rstrip("/")
 
 
@@ -35,23 +42,33 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     a re-read and not the work before it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)  # gone when the application ends
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame | None) -> None:
+    """Delete written tables that nothing reads any more."""
+    for df in tables:
+        for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()} if df is not None else ():
+            folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(name)
+            folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Cut batches so that a slice holds at most SLICE_BYTES of text or one row."""
+def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut batches so that a slice holds at most `size` bytes of text or one row."""
     for batch in batches:
         col = batch.column(batch.schema.get_field_index(column))
         sizes = col.fill_null("").cast(pa.large_binary())
         ends = np.frombuffer(sizes.buffers()[1], np.int64)[sizes.offset : sizes.offset + len(sizes) + 1]
         begin = 0
         while begin < len(batch):
-            end = int(np.searchsorted(ends, ends[begin] + SLICE_BYTES, "right")) - 1
+            end = int(np.searchsorted(ends, ends[begin] + size, "right")) - 1
             end = min(max(end, begin + 1), len(batch))
             yield batch.slice(begin, end - begin)
             begin = end

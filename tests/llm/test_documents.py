@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from plumbline.llm import common, decontam, langid, linededup, packing, quality, secrets, simhash, substring
+from plumbline.llm import common, decontam, langid, linededup, packing, quality, secrets, simhash, substring, tokens
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -86,10 +86,41 @@ def test_plans_cover_and_come_close_to_the_bound():
         assert n <= bound * 1.02 + 1
 
 
-def test_pretoken_ids_equal_whole_encoding():
-    tok, encode = Tokenizer.from_file(P.path("byte_bpe_50k.json")), packing.id_encoder(P.path("byte_bpe_50k.json"), P.PATTERN)
-    for t in ["a  b\n\n c 's don't\t\t x 　é é <|endoftext|> 1234  ", " ", "\n", "'s's  's", "\x1c \x85 a", "ab‍🙂 　x", "  \n  \n"]:
-        assert np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() == encode(t)
+def test_patterns_place_most_sequences_of_several(monkeypatch):
+    r = np.random.default_rng(4)
+    sizes = (r.gamma(2.0, 300.0, 20_000).astype(int) + 1).clip(1, 2048)
+    h = {int(k): int(v) for k, v in Counter(sizes.tolist()).items()}
+    packs, alone = packing.plan(h), sum(c for _, c in packing.best_fit(h, 2048))
+    rest = []
+    monkeypatch.setattr(packing, "best_fit", lambda left, capacity, f=packing.best_fit: rest.append(f(left, capacity)) or rest[-1])
+    assert packing.plan(h) == packs and sum(c for _, c in packs) <= alone
+    several = sum(c for items, c in packs if len(items) > 1)
+    by_best_fit = next(sum(c for items, c in x if len(items) > 1) for x in rest if packs[len(packs) - len(x) :] == x)
+    assert by_best_fit < 0.2 * several
+
+
+MARKS = ["'s", "'", "s", "t", "re", "'ll", "ll", "ve", " ", "  ", "\n", "\t", "a", "B", "é", "1", "!", "🙂", "　", "\x1c", "\x85", "\xa0", "<|endoftext|>", "<|", "日本", "m", "\u200d"]
+
+
+def test_ids_and_offsets_equal_the_tokenizers():
+    tok, r = Tokenizer.from_file(P.path("byte_bpe_50k.json")), random.Random(1)
+    texts = ["".join(r.choice(MARKS) for _ in range(r.randint(0, 12))) for _ in range(3000)] + ["x" * 5000, "a  b\n\n c 's don't\t\t x"]
+    texts += ["a" + chr(c) + "b" for c in [*range(0x3000), *range(0x3000, 0x20000, 7)] if not 0xD800 <= c < 0xE000]
+    got = tokens.encoder().encode(texts)
+    for k, t in enumerate(texts):
+        want, own = tok.encode(t, add_special_tokens=False), slice(got.ends[k], got.ends[k + 1])
+        assert got.ids[own].tolist() == want.ids, t
+        offsets = np.stack([got.start[own], got.stop[own]], 1) - got.text_ends[k]
+        assert list(map(tuple, offsets.tolist())) == want.offsets, t
+
+
+def test_tokens_of_equal_hash_and_full_tables(monkeypatch):
+    tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    monkeypatch.setattr(tokens, "mix", lambda x: x % np.uint64(7))  # almost all words share a hash
+    monkeypatch.setattr(tokens, "TABLE_CODES", 50)
+    made = tokens.Encoder(P.path("byte_bpe_50k.json"))
+    for t in ["some words that differ here", "and others that come later on, some words again", ""]:
+        assert made.encode([t]).ids.tolist() == tok.encode(t, add_special_tokens=False).ids
 
 
 # 2
