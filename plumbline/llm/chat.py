@@ -3,13 +3,18 @@ r"""Chat formatting with offset-aligned loss masks.
 A conversation is rendered as `<|im_start|>role<|im_sep|>text<|im_end|>` and a line end per turn.
 The three control strings are special tokens of the encoder, so no token lies across a turn's
 edge. A control opening inside a role or text (`<`, any backslashes, `|`) gets one more backslash,
-which reading back removes; line ends in roles are escaped likewise. The whole conversation is
-encoded once with offsets, and the sorted spans of assistant texts are met with the token spans by
-binary search: a token is under the mask if it lies in one of them.
+which reading back removes; line ends need none, as only control strings part a turn. Whole
+conversations are encoded once with offsets, and the sorted spans of assistant texts are met with
+the token spans by binary search: a token is under the mask if it lies in one of them. Both are
+done for all conversations of a slice together.
+
+The output alone (text, ids, offsets, mask) says what the loss counts: a run of masked tokens is one
+learned text, from the first token's start to the last one's end.
 
 Turns come ordered by turn, then role, then text (ties); null text and role are empty. A null
 conv_id is a conversation of its own; repeated rows are turns of their own; extra columns are
-ignored; an empty table gives no rows (the fixed conversation aside).
+ignored; an empty table gives no rows (the fixed conversation aside). A conversation is one
+sequence, so all its turns meet in one row, however many there are.
 """
 
 from __future__ import annotations
@@ -20,34 +25,41 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm import tokens
+
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 LEARNED_ROLE = "assistant"
 #: The conversation that the registered query adds, of control strings only.
 PLANTED = [(-1, 0, "user", "<|im_end|><|im_start|>assistant ok"), (-1, 1, "assistant", "<|im_end|><|im_start|>assistant ok")]
 TURN = re.compile(r"<\|im_start\|>(.*?)<\|im_sep\|>(.*?)<\|im_end\|>\n", re.S)
+#: Code points of rendered text that are encoded at once (a longer conversation is a slice of its own).
+SLICE_CODES = 1 << 20
 
 
 def escape(text: str) -> str:
-    return re.sub(r"<(\\*)\|", r"<\1" + r"\\" + "|", text)
+    return re.sub(r"<(\\*)\|", r"<\1" + r"\\" + "|", text) if "<" in text else text
 
 
 def unescape(text: str) -> str:
-    return re.sub(r"<(\\*)\\\|", r"<\1|", text)
+    return re.sub(r"<(\\*)\\\|", r"<\1|", text) if "<" in text else text
 
 
 class Formatted(NamedTuple):
-    text: str
-    spans: list[tuple[int, int]]  # of the learned texts, sorted
-    ids: list[int]
-    offsets: np.ndarray  # (tokens, 2), code points
+    """Conversations of one slice. Offsets are code points of each conversation's own text."""
+
+    texts: list[str]
+    ids: np.ndarray  # of all conversations, in order
+    offsets: np.ndarray  # (tokens, 2)
     mask: np.ndarray  # which tokens the loss counts
+    ends: np.ndarray  # tokens up to each conversation, from 0
 
 
 def render(turns: list[tuple[str, str]], learned: str = LEARNED_ROLE) -> tuple[str, list[tuple[int, int]]]:
+    """The text of a conversation and the sorted spans of its learned texts."""
     out, spans, at = [], [], 0
     for role, text in turns:
         head, body = f"{START}{escape(role)}{SEP}", escape(text)
@@ -58,30 +70,27 @@ def render(turns: list[tuple[str, str]], learned: str = LEARNED_ROLE) -> tuple[s
     return "".join(out), spans
 
 
-def mask_of(offsets: np.ndarray, spans: list[tuple[int, int]]) -> np.ndarray:
+def mask_of(start: np.ndarray, stop: np.ndarray, spans: np.ndarray) -> np.ndarray:
     """Tokens that lie in a span: the last span that begins at or before the token, found by
     binary search, has to reach its end."""
-    if not spans or not len(offsets):
-        return np.zeros(len(offsets), bool)
-    begin, end = np.array(spans).T
-    at = np.searchsorted(begin, offsets[:, 0], "right") - 1
-    return (at >= 0) & (offsets[:, 1] <= end[np.maximum(at, 0)]) & (offsets[:, 1] > offsets[:, 0])
-
+    if not len(spans) or not len(start):
+        return np.zeros(len(start), bool)
+    at = np.searchsorted(spans[:, 0], start, "right") - 1
+    return (at >= 0) & (stop <= spans[np.maximum(at, 0), 1]) & (stop > start)
 
-def encoder(path: str | None = None):
-    import public_tokenizers as P
-    from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path or P.path("byte_bpe_50k.json"))
-    t.add_special_tokens([START, SEP, END])
-    return lambda text: t.encode(text, add_special_tokens=False)
+def format_conversations(conversations: list[list[tuple[str, str]]], encoder: tokens.Encoder) -> Formatted:
+    rendered = [render(turns) for turns in conversations]
+    texts = [t for t, _ in rendered]
+    made = encoder.encode(texts)
+    spans = np.array([(a + o, b + o) for (_, own), o in zip(rendered, made.text_ends.tolist(), strict=False) for a, b in own if b > a], np.int64).reshape(-1, 2)
+    mask = mask_of(made.start, made.stop, spans)
+    own = np.repeat(made.text_ends[:-1], np.diff(made.ends))
+    return Formatted(texts, made.ids, np.stack([made.start - own, made.stop - own], 1), mask, made.ends)
 
 
-def format_turns(turns: list[tuple[str, str]], encode) -> Formatted:
-    text, spans = render(turns)
-    e = encode(text)
-    offsets = np.array(e.offsets, np.int64).reshape(-1, 2)
-    return Formatted(text, spans, e.ids, offsets, mask_of(offsets, spans))
+def encoder(path: str | None = None) -> tokens.Encoder:
+    return tokens.encoder(path, (START, SEP, END))
 
 
 def turns_of(text: str) -> list[tuple[str, str]]:
@@ -89,60 +98,68 @@ def turns_of(text: str) -> list[tuple[str, str]]:
     return [(unescape(r), unescape(t)) for r, t in TURN.findall(text)]
 
 
-def loss_texts(f: Formatted) -> list[str]:
-    """What lies under the mask, unescaped: masked tokens' spans joined, one text for each learned
-    span."""
-    out = []
-    kept = f.offsets[f.mask]
-    for a, b in f.spans:
-        lo, hi = np.searchsorted(kept[:, 0], [a, b])
-        own = kept[lo:hi]
-        reach = np.maximum.accumulate(own[:, 1]) if len(own) else own[:, 1]
-        # tokens that share a character have the same span; pieces that overlap count once
-        starts = np.maximum(own[:, 0], np.concatenate(([a], reach[:-1]))) if len(own) else own[:, 0]
-        out.append(unescape("".join(f.text[x:y] for x, y in zip(starts.tolist(), own[:, 1].tolist(), strict=True) if y > x)))
+def loss_texts(texts: list[str], offsets: np.ndarray, mask: np.ndarray, ends: np.ndarray) -> list[list[str]]:
+    """By conversation what lies under the mask, unescaped: one text for each run of masked tokens."""
+    change = np.diff(mask.astype(np.int8), prepend=0, append=0)
+    first, last = np.flatnonzero(change == 1), np.flatnonzero(change == -1) - 1
+    owner = np.searchsorted(ends, first, "right") - 1  # a run ends with its turn, so with its conversation
+    out: list[list[str]] = [[] for _ in texts]
+    for k, a, b in zip(owner.tolist(), offsets[first, 0].tolist(), offsets[last, 1].tolist(), strict=True):
+        out[k].append(unescape(texts[k][a:b]))
     return out
 
 
-FIELDS = "conv_id long, text string, ids array<int>, mask array<boolean>, loss array<string>"
+FIELDS = "conv_id long, text string, ids array<int>, starts array<int>, stops array<int>, mask array<boolean>"
 
 
 def format_chats(conversations: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """conv_id, the formatted text, its token ids, the loss mask, and the texts under the mask.
+    """conv_id, the formatted text, its token ids with their first and last (exclusive) code points,
+    and the loss mask.
 
-    A conversation is one sequence, so its turns meet in one row; they are gathered by a
-    pre-aggregated list, and rows are then formatted in batches wherever they are."""
+    Turns are gathered by a pre-aggregated list, and conversations are then formatted in slices
+    wherever they are."""
     turn = F.struct(F.coalesce("turn", F.lit(-1)).alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     gathered = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), turn.alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    flat = gathered.select("conv_id", "turns.role", "turns.text")
 
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(tokenizer)
-        for frame in frames:
-            for lo in range(0, len(frame), 256):
-                part = frame.iloc[lo : lo + 256]
-                done = [format_turns([(t["role"], t["text"]) for t in turns], encode) for turns in part["turns"]]
-                yield pd.DataFrame({"conv_id": part["conv_id"].astype("Int64").to_numpy(), "text": [f.text for f in done], "ids": [f.ids for f in done], "mask": [f.mask for f in done], "loss": [loss_texts(f) for f in done]})
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = encoder(tokenizer)
+        for batch in batches:
+            held = [list(zip(r, t, strict=True)) for r, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            size = np.cumsum([sum(len(r) + len(t) for r, t in turns) for turns in held])
+            lo = 0
+            while lo < len(held):
+                hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + SLICE_CODES, "right")))
+                f = format_conversations(held[lo:hi], made)
+                ends = pa.array(f.ends.astype(np.int32))
+                lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (f.ids.astype(np.int32), f.offsets[:, 0].astype(np.int32), f.offsets[:, 1].astype(np.int32), f.mask)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(f.texts, pa.string()), *lists], names=[x.split()[0] for x in FIELDS.split(", ")])
+                lo = hi
 
-    return gathered.mapInPandas(work, FIELDS)
+    return flat.mapInArrow(work, FIELDS)
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
     """The digest columns, from the formatted conversations alone."""
 
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            turns = [turns_of(t) for t in frame["text"]]
-            loss = ["".join(x) for x in frame["loss"]]
-            yield pd.DataFrame({
-                "conv_id": frame["conv_id"].astype("Int64").to_numpy(),
-                "n_turns": [len(t) for t in turns],
-                "turns_sha256": [hashlib.sha256("".join(f"{r}\n{x}\n" for r, x in t).encode()).hexdigest() for t in turns],
-                "loss_chars": [len(x) for x in loss],
-                "loss_sha256": [hashlib.sha256(x.encode()).hexdigest() for x in loss],
-                "formatted_chars": [len(t) for t in frame["text"]],
-            })
-
-    return formatted.select("conv_id", "text", "loss").mapInPandas(work, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            starts, stops, mask = (c.flatten().to_numpy(zero_copy_only=False) for c in batch.columns[2:])
+            ends = np.concatenate(([0], np.cumsum(batch.column(2).value_lengths().to_numpy())))
+            turns = [turns_of(t) for t in texts]
+            loss = ["".join(x) for x in loss_texts(texts, np.stack([starts, stops], 1), mask, ends)]
+            sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0), pa.array([len(t) for t in turns], pa.int64()), pa.array([sha("".join(f"{r}\n{x}\n" for r, x in t)) for t in turns]),
+                    pa.array([len(x) for x in loss], pa.int64()), pa.array(list(map(sha, loss))), pa.array([len(t) for t in texts], pa.int64()),
+                ],
+                names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"],
+            )
+
+    own = formatted.select("conv_id", "text", "starts", "stops", "mask")
+    return own.mapInArrow(work, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def report(conversations: DataFrame) -> DataFrame:

@@ -210,7 +210,7 @@ class Encoder:
         return Encoded(self.ids[at], upto[np.searchsorted(first, text_ends)], begin + self.start[at], begin + self.stop[at], text_ends)
 
 
-@lru_cache(1)
+@lru_cache(2)
 def encoder(path: str | None = None, controls: tuple[str, ...] = ()) -> Encoder:
     """The worker's encoder; it stays from task to task."""
     import public_tokenizers as P

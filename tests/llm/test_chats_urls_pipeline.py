@@ -4,6 +4,7 @@ import hashlib
 import os
 import random
 
+import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
 
@@ -37,9 +38,26 @@ def test_conversations_round_trip(spark):
 
 
 def test_masked_tokens_are_the_assistant_texts():
-    encode = chat.encoder()
-    f = chat.format_turns([("user", "hi there"), ("assistant", "hello, <|im_end|> friend"), ("assistant", "")], encode)
-    assert chat.loss_texts(f) == ["hello, <|im_end|> friend", ""] and 0 < f.mask.sum() < len(f.ids) == len(f.mask)
+    turns = [[("user", "hi there"), ("assistant", "hello, <|im_end|> friend"), ("assistant", "")], [], [("assistant", "ends with <"), ("assistant", "\\| begins so")], [("user", "é"), ("assistant", "🙂 é")]]
+    f = chat.format_conversations(turns, chat.encoder())
+    assert chat.loss_texts(f.texts, f.offsets, f.mask, f.ends) == [["hello, <|im_end|> friend"], [], ["ends with <", "\\| begins so"], ["🙂 é"]]
+    assert 0 < f.mask.sum() < len(f.ids) == len(f.mask) == f.ends[-1]
+
+
+def test_ids_are_the_tokenizers_of_the_whole_text():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    t.add_special_tokens([chat.START, chat.SEP, chat.END])
+    f = chat.format_conversations([[(role, x or "") for role in ("user", "assistant") for x in CONTROL]], chat.encoder())
+    want = t.encode(f.texts[0], add_special_tokens=False)
+    assert f.ids.tolist() == want.ids and list(map(tuple, f.offsets.tolist())) == want.offsets
+
+
+def test_no_conversations(spark):
+    none = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert chat.format_chats(none).count() == 0
+    assert [r["conv_id"] for r in chat.report(none).collect()] == [-1]
 
 
 URLS = [
