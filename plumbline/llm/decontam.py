@@ -1,13 +1,14 @@
 """Benchmark decontamination by winnowing.
 
 Of each 6 neighbouring 5-word grams the one with the least hash is kept, in documents and benchmark
-items alike, so any shared span of 10 words shares a kept gram. A document's kept grams are looked
-up among the benchmark's; only around hits are 10-word windows compared (hashes, then the words
-themselves), which extends a hit to the whole shared span. Items shorter than a window are one
-window of their own length, compared at every place.
+items alike, so any shared span of 10 words shares a kept gram. Kept grams are the fingerprints: those
+of documents are joined with those of items, and around each hit the 10-word windows that hold the
+gram are joined with the items' windows, word for word, which extends a hit to the whole shared span.
+Items shorter than a window are one window and one fingerprint of their own length.
 
-The benchmark is the stated query set: it goes to the executors in blocks of at most BLOCK_BYTES of
-item text, each run over all documents; a benchmark within one block needs no shuffle at all.
+The corpus is read once and its texts are never shuffled: what a bit map of the benchmark's
+fingerprints (MAP_BITS at most) holds goes on as candidates, with the windows' words. The map only
+narrows; both joins are equi-joins that Spark plans by the sizes of written tables.
 
 Defined cases: null text has no words (no hits, not contaminated; an item without words is never
 found); null item_id is ignored; repeated items count once by item_id; repeated documents give equal
@@ -16,21 +17,24 @@ rows; texts are read whole; extra columns are ignored; empty tables give no hits
 
 from __future__ import annotations
 
-import itertools
-from collections import defaultdict
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import NOT_WORD, U64, Words, class_table, marked, materialise, text_bytes, text_slices
+from plumbline.llm.common import NOT_WORD, U64, Words, class_table, materialise, mix, text_bytes, text_slices
 
 WINDOW = 10
 GRAM = 5
-#: Bytes of benchmark text in one block; a block is what a broadcast holds at most (plus one item).
-BLOCK_BYTES = 16 << 20
+#: Bits of the map of the benchmark's fingerprints (a power of two): 16 MiB at most.
+MAP_BITS = 27
+#: The map is made in so many parts, and an entry sets so many bits of its part at most.
+MAP_PARTS = 64
+MAX_PROBES = 4
 CLASSES = class_table(NOT_WORD, lower=True)
 
 
@@ -54,144 +58,167 @@ def winnow(grams: np.ndarray, doc_of: np.ndarray, valid: np.ndarray, span: int)
     return np.unique(best[begins])
 
 
-class Block:
-    """The windows of some benchmark items: hashes, their words, their items, and kept grams."""
-
-    def __init__(self, items: list[tuple[str, bytes]]):
-        self.items = sorted({i for i, _ in items})
-        number = {i: k for k, i in enumerate(self.items)}
-        data = np.frombuffer(b"".join(t for _, t in items), np.uint8)
-        ends = np.cumsum([0, *(len(t) for _, t in items)])
-        w = Words(data, ends, CLASSES)
-        code = w.code.tobytes()
-        owner = np.repeat(np.arange(len(items)), np.diff(w.doc))
-        windows: dict[int, dict[bytes, set[int]]] = defaultdict(lambda: defaultdict(set))
-        places: dict[int, list[int]] = defaultdict(list)
-        for k, (item, _) in enumerate(items):
-            n = int(w.doc[k + 1] - w.doc[k])
-            size = min(n, WINDOW)
-            for p in range(int(w.doc[k]), int(w.doc[k + 1]) - size + 1) if n else ():
-                windows[size][phrase(code, w, p, size)].add(number[item])
-                places[size].append(p)
-        self.sizes = {}
-        for size, texts in windows.items():
-            hashes, _ = w.grams(size)
-            hash_of = {phrase(code, w, p, size): int(hashes[p]) for p in places[size]}
-            rows = sorted((hash_of[text], text, sorted(held)) for text, held in texts.items())
-            self.sizes[size] = (np.array([h for h, _, _ in rows], U64), [(text, held) for _, text, held in rows])
-        grams, valid = w.grams(GRAM)
-        kept = winnow(grams, owner, valid, WINDOW - GRAM + 1)
-        self.grams = np.unique(grams[kept])
-
-
 def phrase(code: bytes, w: Words, at: int, size: int) -> bytes:
     return b" ".join(code[a:b] for a, b in zip(w.start[at : at + size].tolist(), w.end[at : at + size].tolist(), strict=True))
 
 
-def member(values: np.ndarray, of: np.ndarray) -> np.ndarray:
-    at = np.searchsorted(of, values)
-    at[at == len(of)] = 0
-    return of[at] == values if len(of) else np.zeros(len(values), bool)
-
-
-def matches(w: Words, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[int, set[int]]]:
-    """Window starts and ends that occur, and the items by document of the slice."""
-    n = len(w.start)
-    doc_of = np.repeat(np.arange(len(w.doc) - 1), np.diff(w.doc))
-    starts, ends, items = [], [], defaultdict(set)
-    code = None
-    for size, (hashes, texts) in block.sizes.items():
-        grams, valid = w.grams(size)
-        if size == WINDOW:
-            five, ok = w.grams(GRAM)
-            kept = winnow(five, doc_of, ok, WINDOW - GRAM + 1)
-            hit = kept[member(five[kept], block.grams)]
-            near = np.unique((hit[:, None] - np.arange(WINDOW - GRAM + 1)).ravel())
-            near = near[(near >= 0) & (near < n)]
-        else:
-            near = np.arange(n)
-        near = near[valid[near]]
-        near = near[member(grams[near], hashes)] if len(hashes) else near[:0]
-        if not len(near):
-            continue
-        code = w.code.tobytes() if code is None else code
-        for p, h in zip(near.tolist(), grams[near], strict=True):
-            at, text = int(np.searchsorted(hashes, h)), phrase(code, w, p, size)
-            while at < len(hashes) and hashes[at] == h:
-                if texts[at][0] == text:
-                    starts.append(p)
-                    ends.append(p + size)
-                    items[int(doc_of[p])].update(texts[at][1])
-                at += 1
-    return np.array(starts, np.int64), np.array(ends, np.int64), doc_of, items
-
-
-def blocks_of(benchmark: DataFrame) -> Iterator[list[tuple[str, bytes]]]:
-    """The benchmark's items in blocks; one block at a time is on the driver."""
+def kept_grams(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the kept grams of a slice."""
+    grams, valid = w.grams(GRAM)
+    at = winnow(grams, owners(w), valid, WINDOW - GRAM + 1)
+    return at, grams[at]
+
+
+def owners(w: Words) -> np.ndarray:
+    """The text that each word is of."""
+    return np.repeat(np.arange(len(w.doc) - 1), np.diff(w.doc))
+
+
+def phrases(w: Words, at: np.ndarray, size: int) -> list[str]:
+    code = w.code.tobytes() if len(at) else b""
+    return [phrase(code, w, p, size).decode() for p in at.tolist()]
+
+
+def benchmark_windows(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """size, phrase, item_id of the items' windows; and the items' distinct fingerprints with the size
+    of the windows that they stand for."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id is not null and text is not null")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, -(-int(size) // BLOCK_BYTES) * (2 if size > BLOCK_BYTES else 1))
-    for k in range(parts):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).distinct().collect()
-        yield [(r["item_id"], r["text"].encode()) for r in rows]
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches):
+            w = Words(*text_bytes(batch.column(1)), CLASSES)
+            owner, length = owners(w), np.diff(w.doc)
+            for size in np.unique(np.minimum(length[length > 0], WINDOW)).tolist():
+                grams, valid = w.grams(size)
+                at = np.flatnonzero(valid & (np.minimum(length, WINDOW) == size)[owner])
+                kept = kept_grams(w) if size == WINDOW else (at, grams[at])
+                kind = np.concatenate([np.ones(len(at), bool), np.zeros(len(kept[0]), bool)])
+                n = len(kind)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(kind), pa.array(np.full(n, size, np.int32)), pa.array(phrases(w, at, size) + [None] * len(kept[0]), pa.string()),
+                        batch.column(0).take(pa.array(owner[np.concatenate([at, kept[0]])])), pa.array(np.concatenate([np.zeros(len(at), np.int64), kept[1].view(np.int64)])),
+                    ],
+                    names=["window", "size", "phrase", "item_id", "print"],
+                )
+
+    made = materialise(items.mapInArrow(work, "window boolean, size int, phrase string, item_id string, print long"), "benchmark")
+    windows = materialise(made.where("window").select("size", "phrase", "item_id").distinct(), "benchmark_windows")
+    return windows, materialise(made.where("not window").select("size", "print").distinct(), "benchmark_prints")
+
+
+class PrintMap(NamedTuple):
+    """Which fingerprints may be the benchmark's: a Bloom filter in parts of `width` bits."""
+
+    bits: bytes
+    probes: int
 
-def run_block(docs: DataFrame, items: list[tuple[str, bytes]], detail: bool) -> DataFrame:
-    """docs: row key and text. Per document: n_words, n_hit and items, and the hit words' runs."""
-    held = docs.sparkSession.sparkContext.broadcast(items)
-    schema = "key long, n_words long, n_hit long, items array<string>, runs array<long>"
+    def holds(self, prints: np.ndarray) -> np.ndarray:
+        bits = np.frombuffer(self.bits, np.uint8)
+        width = len(bits) * 8 // MAP_PARTS
+        base = part_of(prints) * width
+        out = np.ones(len(prints), bool)
+        for j in range(self.probes):
+            at = base + slot_of(prints, j, width)
+            out &= (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+        return out
+
+
+def part_of(prints: np.ndarray) -> np.ndarray:
+    return (prints % U64(MAP_PARTS)).astype(np.int64)
+
+
+def slot_of(prints: np.ndarray, probe: int, width: int) -> np.ndarray:
+    return (mix(prints ^ U64(probe + 1)) >> U64(64 - width.bit_length() + 1)).astype(np.int64)
+
+
+def print_map(prints: DataFrame) -> PrintMap:
+    n = prints.count()
+    bits = 1 << min(MAP_BITS, max(16, (16 * n).bit_length()))
+    width, probes = bits // MAP_PARTS, int(np.clip(round(0.69 * bits / max(1, n)), 1, MAX_PROBES))
+
+    def work(group: pd.DataFrame) -> pd.DataFrame:
+        own = group["print"].to_numpy().view(U64)
+        held = np.zeros(width, np.uint8)
+        for j in range(probes):
+            held[slot_of(own, j, width)] = 1
+        return pd.DataFrame({"part": [int(part_of(own[:1])[0])], "bits": [np.packbits(held, bitorder="little").tobytes()]})
+
+    out = np.zeros((MAP_PARTS, width // 8), np.uint8)
+    unsigned = F.pmod(F.col("print"), F.lit(MAP_PARTS))  # a power of two, so the same for signed numbers
+    for row in prints.groupBy(unsigned.alias("part")).applyInPandas(work, "part long, bits binary").collect():  # the map, no more than its fixed size
+        out[row["part"]] = np.frombuffer(row["bits"], np.uint8)
+    return PrintMap(out.tobytes(), probes)
+
+
+SCANNED = "row long, doc_id long, text_hash long, n_words long, candidates array<struct<print:long,start:int,size:int,phrase:string>>"
+
+
+def scan(docs: DataFrame, found: PrintMap, short: list[int]) -> DataFrame:
+    """A row per document with its candidates: fingerprints in the map, each with the windows that it
+    is a part of. row: a number of its own."""
+    held = docs.sparkSession.sparkContext.broadcast((found, short))  # MAP_BITS at most
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = Block(held.value)
+        from pyspark import TaskContext
+
+        (found, short), row = held.value, TaskContext.get().partitionId() << 33
         for batch in text_slices(batches):
             w = Words(*text_bytes(batch.column(1)), CLASSES)
-            start, end, doc_of, items = matches(w, block)
-            hit = marked(len(w.start), start, end)
-            n_hit = np.bincount(doc_of[hit], minlength=len(batch)) if len(doc_of) else np.zeros(len(batch), np.int64)
-            runs: list[list[int]] = [[] for _ in range(len(batch))]
-            if detail and hit.any():
-                edge = np.flatnonzero(np.diff(np.concatenate(([0], hit.astype(np.int8), [0]))))
-                for a, b in edge.reshape(-1, 2).tolist():
-                    while a < b:  # a run may go over the end of a document
-                        d = int(doc_of[a])
-                        stop = min(b, int(w.doc[d + 1]))
-                        runs[d] += [a - int(w.doc[d]), stop - int(w.doc[d])]
-                        a = stop
-            names = [[block.items[i] for i in sorted(items.get(d, ()))] for d in range(len(batch))]
+            n = len(w.start)
+            starts, sizes, prints, texts = [], [], [], []
+            for size in [*short, WINDOW]:
+                if size == WINDOW:
+                    at, own = kept_grams(w)
+                    _, valid = w.grams(WINDOW)
+                    hit = found.holds(own)
+                    reach = WINDOW - GRAM + 1
+                    start, own = (at[hit][:, None] - np.arange(reach)).ravel(), np.repeat(own[hit], reach)
+                    owner = np.repeat(at[hit], reach)
+                    first = np.repeat(w.doc[:-1], np.diff(w.doc))
+                    inside = start >= first[owner] if n else np.zeros(0, bool)
+                    start, own = start[inside], own[inside]
+                    fits = valid[start]
+                    start, own = start[fits], own[fits]
+                else:
+                    grams, valid = w.grams(size)
+                    start = np.flatnonzero(valid)
+                    start = start[found.holds(grams[start])]
+                    own = grams[start]
+                starts.append(start)
+                sizes.append(np.full(len(start), size, np.int32))
+                prints.append(own)
+                texts += phrases(w, start, size)
+            start, size, own = np.concatenate(starts).astype(np.int64), np.concatenate(sizes), np.concatenate(prints).view(np.int64)
+            doc = owners(w)[start] if n else np.zeros(0, np.int64)
+            order = np.argsort(doc, kind="stable")
+            ends = np.searchsorted(doc[order], np.arange(len(batch) + 1))
+            entries = pa.StructArray.from_arrays(
+                [pa.array(own[order]), pa.array((start - (w.doc[doc] if n else 0))[order].astype(np.int32)), pa.array(size[order]), pa.array(texts, pa.string()).take(pa.array(order))],
+                names=["print", "start", "size", "phrase"],
+            )
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.diff(w.doc)), pa.array(n_hit.astype(np.int64)), pa.array(names, pa.list_(pa.string())), pa.array(runs, pa.list_(pa.int64()))],
-                names=["key", "n_words", "n_hit", "items", "runs"],
+                [pa.array(row + np.arange(len(batch))), batch.column(0), batch.column(2), pa.array(np.diff(w.doc)), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), entries)],
+                names=["row", "doc_id", "text_hash", "n_words", "candidates"],
             )
+            row += len(batch)
 
-    return docs.mapInArrow(work, schema)
+    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash")).mapInArrow(work, SCANNED)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_hit, items (ids found, sorted as strings)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    parts = blocks_of(benchmark)
-    first, second = next(parts), next(parts, None)
-    if second is None:
-        found = run_block(docs, first, detail=False)
-        return found.select(F.col("key").alias("doc_id"), "n_words", "n_hit", F.array_sort("items").alias("items"))
-    # more than one block: runs of hit words are kept by row and merged
-    keyed = materialise(docs.withColumn("key", F.monotonically_increasing_id()), "keyed")
-    found = None
-    for items in itertools.chain([first, second], parts):
-        one = materialise(run_block(keyed.select("key", "text"), items, detail=True), "block")
-        found = one if found is None else found.unionAll(one)
-    merged = found.groupBy("key").agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.collect_list("runs").alias("runs"))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hit = []
-            for n, runs in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                flat = np.array([x for r in runs for x in r], np.int64)
-                hit.append(int(marked(n, flat[::2], flat[1::2]).sum()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hit, pa.int64()), batch.column(2)], names=["key", "n_words", "n_hit", "items"])
-
-    counted = merged.mapInArrow(count, "key long, n_words long, n_hit long, items array<string>")
-    return keyed.select("key", "doc_id").join(counted, "key").select("doc_id", "n_words", "n_hit", "items")
+    """doc_id, text_hash (Spark's xxhash64 of the text), n_words, n_hit, items (ids found, sorted as
+    strings)."""
+    windows, prints = benchmark_windows(benchmark)
+    short = sorted(r["size"] for r in prints.select("size").distinct().collect() if r["size"] < WINDOW)  # nine at most
+    scanned = materialise(scan(docs, print_map(prints.select("print").distinct()), short), "scanned")
+    candidates = scanned.where(F.size("candidates") > 0).select("row", F.explode("candidates").alias("c")).select("row", "c.*")
+    met = candidates.join(prints, ["size", "print"], "left_semi")
+    found = met.join(windows, ["size", "phrase"]).groupBy("row").agg(F.collect_set(F.struct("start", "size")).alias("spans"), F.array_sort(F.collect_set("item_id")).alias("items"))
+    words = F.size(F.array_distinct(F.flatten(F.transform("spans", lambda x: F.sequence(x["start"], x["start"] + x["size"] - 1)))))
+    hits = found.select(F.col("row").alias("hit_row"), words.cast("long").alias("n_hit"), "items")
+    joined = scanned.select("row", "doc_id", "text_hash", "n_words").join(hits, F.col("row") == F.col("hit_row"), "left")
+    return joined.select("doc_id", "text_hash", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
