@@ -56,6 +56,16 @@ def discard(*tables: DataFrame | None) -> None:
             folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def fresh(wanted: list[str], taken: list[str]) -> list[str]:
+    """The wanted names, with as many underscores as keep them apart from those taken (in any case)."""
+    low, out = {t.lower() for t in taken}, []
+    for name in wanted:
+        while name.lower() in low:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -1,9 +1,9 @@
 """Language identification: scripts narrow the candidates, Viterbi labels the words.
 
 A model is learned from labelled rows: for each language, hashed counts of character 1- to 4-grams
-of its words, and the scripts (Unicode ranges) that its words are written in. It is fitted on a
-sample of at most FIT_DOCUMENTS documents (by hash of the text), and at most 65536 counts a
-language come to the driver, whatever the corpus. A word's score per language is its mean n-gram
+of its words, and the scripts (Unicode ranges) that its words are written in. It is fitted on at
+most FIT_PER_LANGUAGE distinct texts of each language (those of least hash, so never none), and at
+most 65536 counts a language come to the driver, whatever the corpus. A word's score per language is its mean n-gram
 log-probability; languages never seen in the word's script are out. Viterbi over a text's words,
 with a penalty for each switch, labels spans; the language with most letters is the prediction, and
 its share of all letters the score.
@@ -23,15 +23,15 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.llm.common import U64, mix, powers, text_slices
 
 BUCKETS = 1 << 16
-#: The classifier is fitted on about this many labelled documents at most.
-FIT_DOCUMENTS = 6_000
+#: The classifier is fitted on this many distinct texts of a language at most.
+FIT_PER_LANGUAGE = 1_500
 NGRAMS = (1, 2, 3, 4)
 SWITCH_PENALTY = 3.0
 #: A script belongs to a language if at least this share of its training words is written in it.
@@ -80,11 +80,27 @@ def ngram_buckets(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(of), np.concatenate(buckets)
 
 
-def learn(labelled: DataFrame, fit_documents: int = FIT_DOCUMENTS) -> Model:
+def least_hash(texts: int, wanted: int) -> int:
+    """The bound under which about twice as many of so many 64-bit hashes lie as are wanted."""
+    return min((1 << 63) - 1, 2 * wanted * (1 << 64) // max(1, texts) - (1 << 63))
+
+
+def fit_sample(labelled: DataFrame, per_language: int = FIT_PER_LANGUAGE) -> DataFrame:
+    """text, lang: of each language the distinct texts of least hash, `per_language` at most. A bound
+    from the (approximate) number of texts leaves out the others before anything is shuffled."""
+    hashed = labelled.select("text", "lang", F.xxhash64("text").alias("hash"))
+    bounds = {r["lang"]: least_hash(r["n"], per_language) for r in hashed.groupBy("lang").agg(F.approx_count_distinct("hash").alias("n")).collect()}  # a row a language
+    if not bounds:
+        return labelled.select("text", "lang")
+    bound = F.element_at(F.create_map(*[F.lit(x) for pair in bounds.items() for x in pair]), F.col("lang"))
+    few = hashed.where(F.col("hash") <= bound).dropDuplicates(["lang", "hash"])
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("hash"))  # over twice per_language rows or so
+    return few.withColumn("nth", nth).where(F.col("nth") <= per_language).select("text", "lang")
+
+
+def learn(labelled: DataFrame, per_language: int = FIT_PER_LANGUAGE) -> Model:
     """labelled: text and lang, neither null."""
-    total = labelled.count()
-    share = min(1.0, fit_documents / max(1, total))
-    sample = labelled.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20))) if share < 1 else labelled
+    sample = fit_sample(labelled, per_language)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
@@ -193,11 +209,14 @@ def span_rows(texts: list[str | None], cache: WordScores) -> list[list[tuple[int
     return out
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of docs (doc_id, text and others), lang_pred, score, n_spans."""
+ADDED = ("lang_pred", "score", "n_spans")
+
+
+def identify(docs: DataFrame, model: Model, added: list[str] | tuple[str, ...] = ADDED) -> DataFrame:
+    """All columns of docs (doc_id, text and others), and the three that are added: the language, its
+    share and the number of spans. Columns of docs that are named like those give way."""
     held = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS rows, a column for each language
-    names = [c for c in docs.columns if c not in ("lang_pred", "score", "n_spans")]
-    own = docs.select(*names)
+    own = docs.select(*[c for c in docs.columns if c not in added])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
@@ -211,10 +230,10 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                 preds.append(model.languages[int(per.argmax())] if len(per) else UND)
                 shares.append(float(per.max() / per.sum()) if len(per) else 0.0)
                 spans.append(int((np.diff(labels) != 0).sum()) + 1 if len(labels) else 0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(preds), pa.array(shares, pa.float64()), pa.array(spans, pa.int64())], names=[*batch.schema.names, "lang_pred", "score", "n_spans"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(preds), pa.array(shares, pa.float64()), pa.array(spans, pa.int64())], names=[*batch.schema.names, *added])
 
-    added = T.StructType().add("lang_pred", "string").add("score", "double").add("n_spans", "long")
-    return own.mapInArrow(work, T.StructType([*own.schema.fields, *added.fields]))
+    fields = [T.StructField(name, kind) for name, kind in zip(added, (T.StringType(), T.DoubleType(), T.LongType()), strict=True)]
+    return own.mapInArrow(work, T.StructType([*own.schema.fields, *fields]))
 
 
 def lettered(docs: DataFrame) -> DataFrame:

@@ -16,7 +16,8 @@ text (whole copies are for the near-duplicate operators), and different texts ne
 Defined cases: null text stays null, without lines; lines without a word are kept and counted in
 n_lines as all others; a line of fewer than `min_tokens` words is never a template; repeated rows
 give equal rows; ties do not matter (counts only); extra columns are kept as they are, but one named
-like a count gives way to it; an empty table gives no rows.
+like a count gives way to it; an empty table gives no rows. Tokens part at spaces, tabs and the
+other white space of a line.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import materialise
+from plumbline.llm.common import fresh, materialise
 from plumbline.llm.quality import once
 
 LEADING_TOKENS = 3
@@ -40,8 +41,8 @@ FIELD = "<*>"
 
 
 def tokens(line: Column) -> Column:
-    """What single spaces part (a literal split, without a regular expression)."""
-    return F.filter(F.split(line, " "), lambda w: w != "")
+    """What white space parts (a literal split, without a regular expression)."""
+    return F.filter(F.split(F.translate(line, "\t\x0b\x0c\r", "    "), " "), lambda w: w != "")
 
 
 def masked(t: Column) -> Column:
@@ -106,12 +107,17 @@ def dropped_lines(docs: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFr
     return formed.join(found, "template", "left_semi").groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("line_no")).alias("dropped"))
 
 
-def dedup(docs: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
-    """All columns of docs, text without the dropped lines, and n_lines, n_dropped."""
-    own = docs.select("doc_id", "text")
-    dropped = dropped_lines(own, min_documents).select(F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__hash"), F.col("dropped").alias("__dropped"))
-    joined = docs.join(dropped, docs["doc_id"].eqNullSafe(F.col("__doc")) & (F.xxhash64(docs["text"]) == F.col("__hash")), "left")
-    lines, places = F.split(docs["text"], "\n"), F.col("__dropped")
-    kept = F.when(places.isNull(), docs["text"]).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(places, i)), "\n"))
-    counts = {"n_lines": F.coalesce(F.size(lines), F.lit(0)), "n_dropped": F.coalesce(F.size(places), F.lit(0))}
-    return joined.select(*[kept.alias(c) if c == "text" else docs[c] for c in docs.columns if c not in counts], *[v.cast("long").alias(k) for k, v in counts.items()])
+def dedup(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, counts: list[str] | tuple[str, ...] = ("n_lines", "n_dropped")) -> DataFrame:
+    """All columns of docs, text without the dropped lines, and the counts of lines and dropped lines.
+    Columns of docs that are named like the counts give way."""
+    doc, text_hash, places = fresh(["doc", "hash", "places"], docs.columns)
+    dropped = dropped_lines(docs.select("doc_id", "text"), min_documents).select(F.col("doc_id").alias(doc), F.col("text_hash").alias(text_hash), F.col("dropped").alias(places))
+    joined = docs.join(dropped, docs["doc_id"].eqNullSafe(F.col(doc)) & (F.xxhash64(docs["text"]) == F.col(text_hash)), "left")
+    lines = F.split(docs["text"], "\n")
+
+    def left(x: Column) -> Column:
+        return F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), places), lambda i: F.get(x, i))
+
+    kept = F.when(F.col(places).isNull(), docs["text"]).otherwise(F.array_join(once(lines, left), "\n"))
+    numbers = [F.coalesce(F.size(lines), F.lit(0)), F.coalesce(F.size(places), F.lit(0))]
+    return joined.select(*[kept.alias(c) if c == "text" else docs[c] for c in docs.columns if c not in counts], *[v.cast("long").alias(k) for k, v in zip(counts, numbers, strict=True)])

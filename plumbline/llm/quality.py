@@ -114,7 +114,8 @@ def judge(docs: DataFrame, max_documents: int = MAX_DOCUMENTS, max_removed_perce
     )
 
 
-ORACLE = rf"""
+def oracle(max_documents: int = MAX_DOCUMENTS, max_removed_percent: int = MAX_REMOVED_PERCENT) -> str:
+    return rf"""
 WITH d AS (
   SELECT row_number() OVER () AS row_id, doc_id, source, coalesce(text, '') AS t FROM documents
 ), w AS (
@@ -130,10 +131,8 @@ WITH d AS (
 ), ln AS (
   SELECT row_id, source, x, trim(regexp_replace(regexp_replace(lower(x), '[\x20\x09-\x0D]+', ' ', 'g'), '[0-9]+', '0', 'g')) AS k
   FROM (SELECT row_id, source, unnest(l) AS x FROM w)
-), sig AS (
-  SELECT row_id, min(md5(k)) AS s FROM ln GROUP BY row_id
 ), common AS (
-  SELECT source, k FROM ln JOIN sig USING (row_id) GROUP BY source, k HAVING count(DISTINCT s) > {MAX_DOCUMENTS}
+  SELECT ln.source, k FROM ln JOIN (SELECT row_id, md5(t) AS s FROM d) USING (row_id) GROUP BY ln.source, k HAVING count(DISTINCT s) > {max_documents}
 ), removed AS (
   SELECT row_id, sum(len(list_filter(regexp_split_to_array(x, '[\x20\x09-\x0D]+'), lambda y: y <> ''))) AS n
   FROM ln JOIN common ON ln.k = common.k AND ln.source IS NOT DISTINCT FROM common.source GROUP BY row_id
@@ -145,7 +144,7 @@ WITH d AS (
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed,
-  NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words) AND 100 * n_boilerplate_words <= {MAX_REMOVED_PERCENT} * n_words AS kept,
+  NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words) AND 100 * n_boilerplate_words <= {max_removed_percent} * n_words AS kept,
   n_boilerplate_words
 FROM s
 """

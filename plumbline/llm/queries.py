@@ -64,5 +64,5 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op6_url_filters": urls.ORACLE,
     "op7_benchmark_decontamination": decontam.ORACLE,
-    "op8_quality_rules": quality.ORACLE,
+    "op8_quality_rules": quality.oracle(),
 }

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import U64, materialise, mix, powers, text_slices
+from plumbline.llm.common import U64, discard, materialise, mix, powers, text_slices
 
 SHINGLE_WORDS = 3
 RADIUS = 2
@@ -196,10 +196,15 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: int, rows: int = 50_00
     """Tables of whole groups (rows that agree on the first `keys` columns) out of sorted batches;
     groups of one row are left out. Adds the column `group`, numbers from 0."""
     held: list[pa.RecordBatch] = []
+    size = 0
+    key_of = lambda b, i: [c[i].as_py() for c in b.columns[:keys]]
     for batch in itertools.chain(batches, [None]):
         if batch is not None:
+            if not len(batch):
+                continue
             held.append(batch)
-            if sum(map(len, held)) < rows:
+            size += len(batch)
+            if size < rows or key_of(held[0], 0) == key_of(batch, -1):  # nothing to cut off yet
                 continue
         if not held:
             return
@@ -208,6 +213,7 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: int, rows: int = 50_00
         edge = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
         cut = len(t) if batch is None else int(edge[-1]) if len(edge) else 0
         held = t.slice(cut).to_batches()
+        size = len(t) - cut
         group = np.concatenate(([0], np.cumsum((key[1:cut] != key[: cut - 1]).any(1)))) if cut else np.zeros(0, np.int64)
         many = np.bincount(group)[group] > 1 if cut else np.zeros(0, bool)
         if many.any():
@@ -249,9 +255,11 @@ def components(links: DataFrame, label: str = "links") -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # small star: each node hands its smaller neighbours to the least of them
         large = materialise(large, label)
+        older = edges
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         edges = materialise(small, label)
+        discard(older, large)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.max("u")).first()
         if now == before:
             return edges.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
@@ -259,12 +267,13 @@ def components(links: DataFrame, label: str = "links") -> DataFrame:
 
 
 def named(prints: DataFrame, links: DataFrame) -> DataFrame:
-    """prints (doc_id, fp, ...) with component_id: the least doc_id that its node's links reach."""
+    """prints (doc_id, fp, ...) with component_id: the least doc_id that its node's links reach, and
+    root: a name of the component that no other has."""
     nodes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     roots = components(links)
     rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(rooted.join(names, "root").select("fp", "component_id"), "fp")
+    return prints.join(rooted.join(names, "root").select("fp", "component_id", "root"), "fp")
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
@@ -320,8 +329,8 @@ def sketch(hashes: np.ndarray) -> tuple[bytes, list[int]]:
 
 
 def sketches(docs: DataFrame, shingle_words: int = SIMILAR_WORDS) -> DataFrame:
-    """doc_id; fp, here a hash of the document's words; bits, the fingerprint of the shingle set
-    (repeats would move it away from sets that are alike); sketch and keys."""
+    """doc_id; text_hash; fp, here a hash of the document's words; bits, the fingerprint of the shingle
+    set (repeats would move it away from sets that are alike); sketch and keys."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -334,9 +343,10 @@ def sketches(docs: DataFrame, shingle_words: int = SIMILAR_WORDS) -> DataFrame:
                 rows.append((signed(own), signed(fingerprint(hashes)), *sketch(hashes)))
             cols = list(zip(*rows, strict=True))
             kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True))], names=["doc_id", "fp", "bits", "sketch", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True))], names=["doc_id", "text_hash", "fp", "bits", "sketch", "keys"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(work, "doc_id long, fp long, bits long, sketch binary, keys array<long>")
+    own = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash"))
+    return own.mapInArrow(work, "doc_id long, text_hash long, fp long, bits long, sketch binary, keys array<long>")
 
 
 def similar_links(nodes: DataFrame, similarity: float = SIMILARITY, every: bool = False) -> DataFrame:
@@ -428,6 +438,12 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
 
 def similar_documents(docs: DataFrame, shingle_words: int = SIMILAR_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, component_id: the least doc_id reachable over links of at least the similarity."""
+    return similar_groups(docs, shingle_words, similarity).select("doc_id", "component_id")
+
+
+def similar_groups(docs: DataFrame, shingle_words: int = SIMILAR_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id, text_hash (Spark's xxhash64 of the text), component_id, and root, which is the same for
+    rows of one component and for no others."""
     made = materialise(sketches(docs, shingle_words), "sketches")
     nodes = made.select("fp", "bits", "sketch", "keys").dropDuplicates(["fp"])
     rooted, links, asked = nodes.withColumn("root", F.col("fp")), None, None
@@ -444,4 +460,4 @@ def similar_documents(docs: DataFrame, shingle_words: int = SIMILAR_WORDS, simil
             break
         roots = materialise(components(links), "roots")
         rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "bits", "sketch", "keys")
-    return named(made.select("doc_id", "fp"), links).select("doc_id", "component_id")
+    return named(made.select("doc_id", "text_hash", "fp"), links).select("doc_id", "text_hash", "component_id", "root")

@@ -126,6 +126,51 @@ def test_without_labels_only_texts_without_letters_go(spark, docs, texts):
     assert sorted(r["doc_id"] for r in out.select("doc_id").collect()) == [i for i, t in enumerate(texts) if any(c.isalpha() for c in t or "")]
 
 
+def test_stages_keep_columns_by_value(spark, texts, small):
+    rows = [(i, t, "en", f"own {i}", i * 3, i * 5, "a", "b", "c") for i, t in enumerate(texts)]
+    held = spark.createDataFrame(rows, "doc_id long, text string, lang string, score string, n_lines int, n_dropped int, lang_pred string, hash string, places string")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        held = stage(spark, held, small)
+        assert [c for c, _ in held.dtypes] == held.columns and len(held.columns) == 9, name
+        held.write.parquet(f"{small}/value_{name}")
+        held = spark.read.parquet(f"{small}/value_{name}")
+    got = held.collect()
+    assert len(got) > 20
+    for r in got:
+        assert tuple(r)[2:] == ("en", f"own {r['doc_id']}", r["doc_id"] * 3, r["doc_id"] * 5, "a", "b", "c")
+
+
+def test_different_texts_of_one_doc_id_stay(spark):
+    words = lambda a, n=40: " ".join(f"{a}{x}{y}" for x in "abcdefgh" for y in "klmno"[: n // 8])
+    rows = [(1, words("one")), (1, words("two")), (1, words("one")), (2, words("two")), (3, words("three")), (None, words("three")), (None, words("four")), (None, words("four")), (4, None), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r["doc_id"] or 0), r["text"] or "") for r in corpus_pipeline.near_dedup(spark, docs, "").collect())
+    assert got == sorted([(1, words("one")), (1, words("two")), (3, words("three")), (0, words("four")), (4, "")])
+
+
+def test_near_dedup_finds_the_groups_of_exact_similarity(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.select("doc_id", "text").collect()}
+    sets = {}
+    for i, t in texts.items():
+        w = t.lower().split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+    up = {i: i for i in texts}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i in texts:
+        for j in texts:
+            if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((root(i), root(j)))
+                up[b] = a
+    got = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").select("doc_id").collect()}
+    assert got == {i for i in texts if root(i) == i} and len(got) < len(texts)
+
+
 def test_run_is_the_stages_in_turn(spark, small):
     assert corpus_pipeline.run(spark, small).count() > 0
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "simhash_near_dedup", "benchmark_decontamination", "best_fit_packing"]

@@ -13,6 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from compare import SF, connect, differences
 from plumbline.llm import common, decontam, langid, linededup, packing, quality, secrets, simhash, substring, tokens
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -298,12 +299,29 @@ def test_language_without_labels(docs):
     assert {r["lang_pred"] for r in out} == {"und"} and {r["score"] for r in out} == {0.0}
 
 
+def test_sample_keeps_every_language_and_is_bounded(spark):
+    rows = [(f"text {i % 500} of many", "en") for i in range(3000)] + [("one rare text", "xx"), ("one rare text", "yy")]
+    got = Counter(r["lang"] for r in langid.fit_sample(spark.createDataFrame(rows, "text string, lang string"), 50).collect())
+    assert got == {"en": 50, "xx": 1, "yy": 1}
+    for n in (1, 10**6, 10**12, 10**16):  # the share of hashes under the bound is twice what is asked, and never none
+        share = (langid.least_hash(n, 1500) + (1 << 63) + 1) / (1 << 64)
+        assert share == 1 or share * n == pytest.approx(3000, rel=0.01)
+
+
+def test_held_out_accuracy(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = langid.report(docs).where("held_out").join(docs.where("lang is not null").select("doc_id", "lang"), "doc_id").collect()
+    assert len(rows) > 100 and sum(r["lang_pred"] == r["lang"] for r in rows) > 0.97 * len(rows)
+
+
 # 7
 
 
-@pytest.mark.parametrize("block", [decontam.BLOCK_BYTES, 400])
-def test_decontamination(spark, docs, texts, block, monkeypatch):
-    monkeypatch.setattr(decontam, "BLOCK_BYTES", block)
+@pytest.mark.parametrize("bits", [decontam.MAP_BITS, 9])  # the small map is full: all fingerprints go on
+def test_decontamination(spark, docs, texts, bits, monkeypatch):
+    made = decontam.print_map
+    if bits == 9:
+        monkeypatch.setattr(decontam, "print_map", lambda prints: decontam.PrintMap(b"\xff" * 64, made(prints).probes))
     split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
     items = [(1, texts[0][20:400]), (2, " ".join(split(texts[2])[:4])), (3, None), (4, "!!"), (5, " ".join(split(texts[7])[3:13]).upper()), (5, "zzz yyy"), (10, texts[9]), (11, " ".join(split(texts[7])[3:12])), (12, "same word")]
     bench = spark.createDataFrame(items, "item_id long, text string")
@@ -356,6 +374,20 @@ def test_depleted_documents_go_and_copies_stay(spark):
     assert not any(got[i] for i in range(40)) and all(got[100 + i] for i in range(50)) and got[200]
 
 
+def test_verdicts_turn_as_in_sql(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    low = differences(quality.judge(docs, 1, 10), connect(SF), quality.oracle(1, 10))
+    turned = [r["kept"] for r in quality.judge(docs, 1, 10).collect()].count(False) - [r["kept"] for r in quality.judge(docs).collect()].count(False)
+    assert low == [] and turned > 0
+
+
+@pytest.mark.parametrize("shared", ["terms of use apply to all of this page and to all others", "all pages here are made with care by our own team of people"])
+def test_a_line_counts_whatever_its_hash(spark, shared):
+    rows = [(i, f"{' '.join(f'{w}{letters(i)}' for w in 'abcdef')}\n{shared}", "h") for i in range(200)]
+    assert not any(r["kept"] for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect())
+    assert all(r["n_dropped"] == 1 for r in linededup.dedup(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect())
+
+
 def test_depleted_documents_with_many_shared_lines_go(spark):
     letters = lambda i: "".join("abcdefghij"[int(c)] for c in f"{i:03d}")
     common = [" ".join(f"{w}{letters(k)}" for w in ("shared", "line", "of", "words", "alone")) for k in range(10)]
@@ -421,6 +453,61 @@ def test_rows_of_numbers_are_no_template(spark):
     assert got == {i: t.removesuffix("\n1 2 3 4") for i, t in rows}  # that one recurs as it is
 
 
+def brute_lines(texts, least):
+    """Per text the places of the lines to drop, by the rules of linededup one by one."""
+    split = lambda x: [w for w in re.split(r"[ \t\x0b\x0c\r]+", x) if w]
+    mask = lambda t: tuple(None if re.search("[0-9]", w) else w for w in t)
+    lines = [(k, i, split(x)) for k, t in enumerate(texts) if t is not None for i, x in enumerate(t.split("\n"))]
+    lines = [(k, i, t, (len(t), mask(t)[:3])) for k, i, t in lines if len(t) >= linededup.MIN_TOKENS]
+
+    def documents(pairs):
+        seen = defaultdict(set)
+        for key, k in pairs:
+            seen[key].add(texts[k])
+        return {key: len(v) for key, v in seen.items() if len(v) >= least}
+
+    leaves = documents((leaf, k) for k, _, _, leaf in lines)
+    lines = [x for x in lines if x[3] in leaves]
+    constants = documents(((leaf, p, w), k) for k, _, t, leaf in lines for p, w in enumerate(mask(t)) if w is not None)
+    formed = []
+    for k, i, t, leaf in lines:
+        words = [(leaf, p, w) for p, w in enumerate(mask(t)) if w is not None]
+        own = [(key, constants[key]) for key in words if key in constants]
+        formed.append((k, i, tuple(t)))
+        bars, most = [max(leaves[leaf] * linededup.CONSTANT_PERCENT / 100, least)], max([n for _, n in own], default=0)
+        while most >= least * 2 ** (len(bars) - 1):
+            bars.append(least * 2 ** (len(bars) - 1))
+        for bar in bars:
+            form = tuple(key for key, n in own if n >= bar)
+            if len(form) * 100 >= len(words) * linededup.MIN_CONSTANT_PERCENT and len(form) * 2 > len(t):
+                formed.append((k, i, (len(t), form)))
+    found = documents((f, k) for k, _, f in formed)
+    out = defaultdict(set)
+    for k, i, f in formed:
+        if f in found:
+            out[k].add(i)
+    return [sorted(out[k]) for k in range(len(texts))]
+
+
+@pytest.mark.parametrize("least", [3, 5])
+def test_line_dedup_by_brute_force(spark, texts, least):
+    r = random.Random(least)
+    names, verbs = [letters(i) for i in range(12)], ["left", "came", "stayed", "slept"]
+    line = lambda: r.choice([
+        f"user {r.choice(names)} {r.choice(verbs)} at {r.randint(1, 9)}:00 in room {r.choice(names[:4])}", f"user {r.choice(names)}\thas {r.randint(0, 99)} points", "all rights of this text are reserved",
+        f"{r.randint(0, 9)} {r.randint(0, 9)} {r.randint(0, 9)}", f"the {r.choice(names)} of {r.choice(names)} is {r.choice(names)} now and here", "", "  ", "two words", f"id {r.randint(0, 3)} of {r.choice(verbs)} is here",
+    ])
+    rows = ["\n".join(line() for _ in range(r.randint(0, 9))) for _ in range(150)] + texts + [None, "", "\n"]
+    rows += rows[:10]
+    got = {x["doc_id"]: x for x in linededup.dedup(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(5), least).collect()}
+    want = brute_lines(rows, least)
+    assert sum(map(len, want)) > 100 and any(0 < len(w) < len(t.split("\n")) for w, t in zip(want, rows, strict=True) if t)
+    for i, (t, gone) in enumerate(zip(rows, want, strict=True)):
+        lines = t.split("\n") if t is not None else []
+        assert got[i]["n_dropped"] == len(gone) and got[i]["n_lines"] == len(lines), (i, t, gone)
+        assert got[i]["text"] == (t if not gone else "\n".join(x for k, x in enumerate(lines) if k not in gone))
+
+
 # 10
 
 
