@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import decontam, langid, linededup, packing, simhash
-from plumbline.llm.common import materialise, table
+from plumbline.llm.common import fresh, materialise, table
 
 #: A document goes if no language has this share of its letters.
 MIN_LANGUAGE_SHARE = 1 / 3
@@ -21,35 +21,50 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.learn(langid.learn_rows(docs))
     if not model.languages:  # nothing to judge by, so only texts without letters go
         return langid.lettered(docs)
-    judged = langid.identify(docs, model)
-    known = (F.col("lang_pred") != langid.UND) & (F.col("score") >= MIN_LANGUAGE_SHARE)
-    return judged.where(known).select(*docs.columns)
+    language, share, spans = fresh(list(langid.ADDED), docs.columns)
+    judged = langid.identify(docs, model, [language, share, spans])
+    return judged.where((F.col(language) != langid.UND) & (F.col(share) >= MIN_LANGUAGE_SHARE)).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Recurring line templates leave the texts; a document that was nothing else goes."""
-    done = linededup.dedup(docs)
-    empty = (F.col("n_dropped") > 0) & ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    lines, dropped = fresh(["n_lines", "n_dropped"], docs.columns)
+    done = linededup.dedup(docs, counts=[lines, dropped])
+    empty = (F.col(dropped) > 0) & ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     return done.where(~empty).select(*docs.columns)
 
 
+def without(docs: DataFrame, keys: DataFrame, how: str = "left_anti") -> DataFrame:
+    """docs without (or with only) the rows of the given doc_id and text hash. What is joined was
+    written before, so its size is known and Spark joins accordingly."""
+    doc, text_hash = fresh(["doc", "hash"], docs.columns)
+    keys = keys.select(F.col("doc_id").alias(doc), F.col("text_hash").alias(text_hash))
+    return docs.join(keys, docs["doc_id"].eqNullSafe(F.col(doc)) & F.xxhash64(docs["text"]).eqNullSafe(F.col(text_hash)), how)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (5-word shingles, similarity 0.8) the least doc_id stays;
-    of rows that share it one stays. Rows without doc_id cannot be named and stay."""
-    groups = materialise(simhash.similar_documents(docs.select("doc_id", "text")), "groups")
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    left = docs.join(gone, docs["doc_id"].eqNullSafe(gone["__gone"]), "left_anti")
-    shared = groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    if not shared:
+    """Of each group of near duplicates (5-word shingles, similarity 0.8) one document stays: the one of
+    least doc_id (null last), of those that share it the one of least text hash, and of equal rows one."""
+    groups = materialise(simhash.similar_groups(docs.select("doc_id", "text")), "groups")
+    first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("f"))
+    stay = materialise(first.select("f.doc_id", "f.text_hash"), "stay")
+    rows = groups.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n"))
+    own = rows["doc_id"].eqNullSafe(stay["doc_id"]) & (rows["text_hash"] == stay["text_hash"])
+    gone = materialise(rows.join(stay, own, "left_anti").select("doc_id", "text_hash"), "gone")
+    left = without(docs, gone)
+    again = materialise(rows.join(stay, own, "left_semi").where("n > 1").select("doc_id", "text_hash"), "again")
+    if not again.limit(1).count():
         return left
-    return left.where("doc_id is null").unionAll(left.where("doc_id is not null").dropDuplicates(["doc_id"]))
+    (text_hash,) = fresh(["hash"], docs.columns)
+    one = without(left, again, "left_semi").withColumn(text_hash, F.xxhash64("text")).dropDuplicates(["doc_id", text_hash])
+    return without(left, again).unionAll(one.select(*docs.columns))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a window of a benchmark item go."""
     found = decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    hit = found.where("n_hit > 0").select(F.col("doc_id").alias("__hit")).distinct()
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["__hit"]), "left_anti")
+    hit = materialise(found.where("n_hit > 0").select("doc_id", "text_hash").distinct(), "contaminated")
+    return without(docs, hit)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
