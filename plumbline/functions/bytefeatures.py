@@ -104,8 +104,8 @@ def alignment_stats(counts: np.ndarray) -> np.ndarray:
     total = counts.sum(1, keepdims=True)
     safe = np.maximum(total, 1)
     p, even = counts / safe, safe / 256
-    top = -np.sort(-p, axis=1)
-    stats = np.stack([_entropy(counts), ((counts - even) ** 2 / even).sum(1) / safe[:, 0], top[:, 0], top[:, :5].sum(1), (p > 0).mean(1)], 1)
+    top = np.partition(p, 251, axis=1)[:, 251:]
+    stats = np.stack([_entropy(counts), ((counts - even) ** 2 / even).sum(1) / safe[:, 0], top.max(1), top.sum(1), (p > 0).mean(1)], 1)
     return np.where(total > 0, stats, 0).ravel()
 
 
@@ -133,13 +133,134 @@ def features(data: bytes) -> np.ndarray:
     return np.concatenate([hist, pairs, bit_run_histogram(bits), plain, inside, lag_correlations(bits), alignment_stats(counts), stored, alignment_hist(counts)])
 
 
+_ONES = np.bitwise_count(np.arange(256, dtype=np.uint8)).astype(np.int64)
+_RUN_BUCKET = np.minimum(np.log2(np.maximum(np.arange((1 << RUN_BUCKETS) + 1), 1)).astype(int), RUN_BUCKETS - 1)
+
+
+def _sums(values: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Sums of a value of each byte by document."""
+    upto = np.concatenate(([0], np.cumsum(values, dtype=np.int64)))
+    return upto[first + size] - upto[first]
+
+
+def _window_entropies(a: np.ndarray, place: np.ndarray, size: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Mean, deviation, least, most and quartiles of the windows' entropies, by document."""
+    out, per = np.zeros((len(size), 6)), size // WINDOW
+    inside = place < (per * WINDOW)[doc]
+    window = (np.cumsum(per) - per)[doc[inside]] + place[inside] // WINDOW
+    counts = np.bincount(window * 256 + a[inside], minlength=int(per.sum()) * 256)
+    log = np.arange(WINDOW + 1) * np.log2(np.maximum(np.arange(WINDOW + 1), 1))
+    e = np.log2(WINDOW) - log[counts].reshape(-1, 256).sum(1) / WINDOW
+    owner = np.repeat(np.arange(len(size)), per)
+    e = e[np.lexsort((e, owner))]
+    many = np.flatnonzero(per >= 2)
+    n, first = per[many], (np.cumsum(per) - per)[many]
+    total = np.bincount(owner, e, len(size))[many]
+    mean = total / n
+    spread = np.bincount(owner, (e - np.repeat(np.bincount(owner, e, len(size)) / np.maximum(per, 1), per)) ** 2, len(size))[many]
+
+    def quantile(q: float) -> np.ndarray:
+        at = q * (n - 1)
+        low = np.floor(at).astype(int)
+        lo, hi = e[first + low], e[first + np.minimum(low + 1, n - 1)]
+        return lo + (hi - lo) * (at - low)
+
+    out[many] = np.stack([mean, np.sqrt(spread / n), e[first], e[first + n - 1], quantile(0.25), quantile(0.75)], 1)
+    return out
+
+
+def _lags(a: np.ndarray, first: np.ndarray, size: np.ndarray, inside: np.ndarray) -> np.ndarray:
+    """Correlations of the bits with the bits k further on, from counts of ones alone. inside: bytes
+    that are not the last of their document."""
+    out = np.zeros((len(size), len(LAGS)))
+    ones, n = _sums(_ONES[a], first, size), size * 8
+    for j, k in enumerate(LAGS):
+        ahead, part = np.zeros(len(a), np.int64), k % 8
+        step = k // 8
+        reach = np.arange(step, len(a))
+        same = np.repeat(first + size, size)[: max(len(a) - step, 0)] > reach if step else np.ones(len(a), bool)
+        ahead[: max(len(a) - step, 0)] = np.where(same, a[step:], 0)
+        if part:  # lags below a byte
+            ahead = (ahead << part) & 255
+            ahead[inside] |= a[inside + 1] >> (8 - part)
+        both = _sums(_ONES[a & ahead.astype(np.uint8)], first, size)
+        ok = n > k
+        head, tail = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64)  # ones in the first and last k bits
+        for i in range(step + (part > 0)):
+            here = ok & (size > i)
+            take = 8 if i < step else part
+            head[here] += _ONES[a[first[here] + i] >> (8 - take)]
+            tail[here] += _ONES[a[first[here] + size[here] - 1 - i] & ((1 << take) - 1)]
+        m = np.maximum(n - k, 1)
+        x, y = (ones - tail) / m, (ones - head) / m
+        sd = np.sqrt(np.maximum(x * (1 - x) * y * (1 - y), 0))
+        ok &= sd > 0
+        out[ok, j] = (both / m - x * y)[ok] / sd[ok]
+    return out
+
+
+def feature_rows(fragments: list[bytes]) -> np.ndarray:
+    """features() of many fragments at once: a row each."""
+    docs = len(fragments)
+    a = np.frombuffer(b"".join(fragments), np.uint8)
+    size = np.fromiter(map(len, fragments), np.int64, docs)
+    first = np.cumsum(size) - size
+    doc = np.repeat(np.arange(docs), size)
+    place = np.arange(len(a)) - first[doc]
+    some = np.maximum(size, 1)[:, None]
+    bytes_of = np.bincount(doc * 256 + a, minlength=docs * 256).reshape(docs, 256)
+    pair = np.flatnonzero(place < (size - 1)[doc])
+    value = a.astype(np.int64)
+    mixed = (value[pair] * 31 + value[pair + 1]) % PAIR_BUCKETS
+    pairs = np.bincount(doc[pair] * PAIR_BUCKETS + mixed, minlength=docs * PAIR_BUCKETS).reshape(docs, -1) / np.maximum(size - 1, 1)[:, None]
+    bits = np.unpackbits(a)
+    start = np.zeros(len(bits), bool)
+    start[first[size > 0] * 8] = True
+    start[1:] |= bits[1:] != bits[:-1]
+    edge = np.flatnonzero(start)
+    run = np.diff(edge, append=len(bits))
+    bucket = _RUN_BUCKET[np.minimum(run, 1 << RUN_BUCKETS)] + bits[edge] * RUN_BUCKETS
+    runs = np.bincount(doc[edge // 8] * 2 * RUN_BUCKETS + bucket, minlength=docs * 2 * RUN_BUCKETS).reshape(docs, -1).astype(float)
+    runs /= np.maximum(runs.sum(1, keepdims=True), 1)
+    ones = _sums(_ONES[a], first, size) / (8 * some[:, 0])
+    hist = bytes_of / some
+    plain = np.stack([ones, _entropy(bytes_of), (bytes_of > 0).sum(1) / 256], 1)
+    wide = value[pair] * 256 + value[pair + 1]
+    long = size > 8
+    aligned = np.stack([np.bincount(doc[pair] * 256 + ((wide << off >> 8) & 255), minlength=docs * 256).reshape(docs, 256) for off in range(8)], 1) * long[:, None, None]
+    four = np.flatnonzero(place < (size - 3)[doc])
+    hit = ((a[four] ^ a[four + 2]) == 255) & ((a[four + 1] ^ a[four + 3]) == 255)
+    hits = np.bincount(doc[four], hit, docs)
+    stored = np.stack([hits, hits / some[:, 0], bytes_of[:, 0] / some[:, 0]], 1) * (size >= 8)[:, None]
+    flat = aligned.reshape(docs * 8, 256).astype(float)
+    coarse = flat.reshape(docs * 8, ALIGN_BINS, -1).sum(2)
+    binned = (coarse / np.maximum(coarse.sum(1, keepdims=True), 1)).reshape(docs, -1)
+    return np.concatenate([hist, pairs, runs, plain, _window_entropies(a, place, size, doc), _lags(a, first, size, pair), alignment_stats(flat).reshape(docs, -1), stored, binned], 1)
+
+
+#: Bytes that one call of the kernel works on (a longer fragment makes a call of its own).
+SLICE_BYTES = 1 << 20
+SLICE_ROWS = 512
+
+
 def with_features(df: DataFrame, data: str, key: str) -> DataFrame:
     """key and the feature vector (array<float>) of each binary value; null data gives null."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [None if x is None else features(x).astype(np.float32) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float32()))], names=[key, "features"])
+            rows = batch.column(1).to_pylist()
+            upto = np.cumsum([len(x or b"") for x in rows])
+            lo = 0
+            while lo < len(rows):
+                hi = int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + SLICE_BYTES, "right"))
+                hi = min(max(hi, lo + 1), lo + SLICE_ROWS)
+                part = rows[lo:hi]
+                made = feature_rows([x for x in part if x is not None]).astype(np.float32)
+                there = np.array([x is not None for x in part])
+                ends = np.concatenate(([0], np.cumsum(there * N_FEATURES))).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(made.ravel()), mask=pa.array(~there))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), lists], names=[key, "features"])
+                lo = hi
 
     return df.select(F.col(key).cast("long"), F.col(data).cast("binary").alias("data")).mapInArrow(work, f"{key} long, features array<float>")
 

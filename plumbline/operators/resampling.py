@@ -1,21 +1,25 @@
 """Resampling inference: scaling fits, cluster and paired bootstraps, exact permutation tests.
 
 Scores are reduced to one (sum, count) row per cluster before any resampling, so a resample costs
-its clusters and never its rows. Slot i of resample b draws cluster number hash(seed, b, i) mod n;
-equal draws are counted before they meet the sums, and every curve and role meets the same draws
-(pairing).
+its clusters and never its rows. Slot i of resample b draws a cluster number by a hash of seed, b and
+i, and every curve and role meets the same draws (pairing). Where the sums are at most MAX_SUMS rows,
+they go to all tasks as one array, and tasks share the resamples: each counts a resample's draws and
+multiplies them with the sums. Beyond that, draws are counted by slices of slots and joined with the
+sums; both ways give the same numbers.
 """
 
 from __future__ import annotations
 
 import itertools
 import math
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.portable import draw
 from plumbline.operators.metrics import fit_line, log_error
 from plumbline.operators.windows import running_total
 
@@ -35,22 +39,92 @@ def numbered(clusters: DataFrame, cluster: str) -> DataFrame:
     return running_total(one, cluster, "_one", "_upto").select(cluster, (F.col("_upto") - 1).alias("idx")).crossJoin(F.broadcast(total))  # one row
 
 
+#: Rows of cluster sums that are sent to all tasks at most (16 bytes each, 64 MiB).
+MAX_SUMS = 1 << 22
+#: Multipliers that keep seeds, resamples and slots apart.
+SEED_STEP, SLOT_STEP = 0x9E3779B1, 0x7F4A7C15
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    """A 32-bit finaliser: each bit of the result depends on all bits of the argument."""
+    h = h ^ (h >> np.uint32(16))
+    h = h * np.uint32(0x85EBCA6B)
+    h ^= h >> np.uint32(13)
+    h = h * np.uint32(0xC2B2AE35)
+    return h ^ (h >> np.uint32(16))
+
+
+def slot_hashes(slots: np.ndarray) -> np.ndarray:
+    return mixed((slots.astype(np.uint64) + np.uint64(SLOT_STEP)).astype(np.uint32))
+
+
+def drawn(seed: int, b: int, slots: np.ndarray, n: int) -> np.ndarray:
+    """The cluster numbers (below n < 2^32) that slots, given by their hashes, draw in resample b."""
+    resample = mixed(np.array([(seed * SEED_STEP + b) & 0xFFFFFFFF], np.uint32))
+    return ((mixed(slots ^ resample).astype(np.uint64) * np.uint64(n)) >> np.uint64(32)).astype(np.int64)
+
+
 def draws(clusters: DataFrame, cluster: str, n_boot: int, seeds: list[int]) -> DataFrame:
     """seed, b, cluster, m: how often each resample drew each cluster."""
     num = numbered(clusters, cluster)
-    slots = num.select("idx", "n", F.explode(F.array(*map(F.lit, seeds))).alias("seed")).select("*", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("b"))
-    picked = slots.select("seed", "b", draw(F.col("n"), "seed", "b", "idx").alias("idx")).groupBy("seed", "b", "idx").agg(F.count("*").alias("m"))
-    return picked.join(num.select(cluster, "idx"), "idx").select("seed", "b", cluster, "m")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            slots, n = slot_hashes(batch.column(0).to_numpy()), batch.column(1)[0].as_py()
+            for seed, b in itertools.product(seeds, range(n_boot)):
+                idx, m = np.unique(drawn(seed, b, slots, n), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(idx), seed, np.int32)), pa.array(np.full(len(idx), b, np.int32)), pa.array(idx), pa.array(m)], names=["seed", "b", "idx", "m"])
+
+    picked = num.select(F.col("idx").cast("long"), F.col("n").cast("long")).mapInArrow(work, "seed int, b int, idx long, m long")
+    return picked.groupBy("seed", "b", "idx").agg(F.sum("m").alias("m")).join(num.select(cluster, "idx"), "idx").select("seed", "b", cluster, "m")
 
 
 def resampled_means(scores: DataFrame, cluster: str, by: list[str], n_boot: int, seeds: list[int], places: int | None = None) -> DataFrame:
     """seed, b, by, mean: sum of sums over sum of counts (rounded where places is given)."""
     sums = cluster_sums(scores, cluster, by)
-    mean = F.sum(F.col("s") * F.col("m")) / F.sum(F.col("c") * F.col("m"))
-    out = draws(sums, cluster, n_boot, seeds).join(sums, cluster).groupBy("seed", "b", *by).agg(mean.alias("mean"))
+    held = sums.limit(MAX_SUMS + 1).toArrow()  # bounded
+    if held.num_rows > MAX_SUMS:
+        mean = F.sum(F.col("s") * F.col("m")) / F.sum(F.col("c") * F.col("m"))
+        out = draws(sums, cluster, n_boot, seeds).join(sums, cluster).groupBy("seed", "b", *by).agg(mean.alias("mean"))
+    else:
+        out = means_of(sums, held, cluster, by, n_boot, seeds)
     return out.withColumn("mean", F.round("mean", places)) if places is not None else out
 
 
+def means_of(sums: DataFrame, held: pa.Table, cluster: str, by: list[str], n_boot: int, seeds: list[int]) -> DataFrame:
+    """resampled_means() where all sums fit an array of clusters by curves."""
+    spark = sums.sparkSession
+    keys, idx = np.unique(held[cluster].to_numpy(), return_inverse=True)
+    cells = held.select(by).to_pylist() if by else [{}] * held.num_rows
+    number: dict[tuple, int] = {}
+    cell = np.array([number.setdefault(tuple(c.values()), len(number)) for c in cells], np.int64)
+    totals = np.zeros((2, len(number), len(keys)))
+    totals[0, cell, idx], totals[1, cell, idx] = held["s"].to_numpy(), held["c"].to_numpy()
+    curves = pa.table({c: pa.array([k[i] for k in number], held.schema.field(c).type) for i, c in enumerate(by)}) if by else None
+    sent = spark.sparkContext.broadcast((totals, curves))  # MAX_SUMS at most
+    schema = ", ".join(["seed int", "b int", *(f"`{c}` {sums.schema[c].dataType.simpleString()}" for c in by), "mean double"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (s, c), curves = sent.value
+        n = s.shape[1]
+        slots = slot_hashes(np.arange(n))
+        for batch in batches:
+            for k in batch.column(0).to_pylist() if n else ():
+                seed, b = seeds[k // n_boot], k % n_boot
+                m = np.bincount(drawn(seed, b, slots, n), minlength=n).astype(float)
+                with np.errstate(invalid="ignore"):
+                    mean = (s @ m) / (c @ m)  # whole numbers, so exact sums
+                there = np.flatnonzero(~np.isnan(mean))
+                own = curves.take(pa.array(there)).columns if curves is not None else []
+                own = [x.combine_chunks() for x in own]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(there), seed, np.int32)), pa.array(np.full(len(there), b, np.int32)), *own, pa.array(mean[there])], names=["seed", "b", *by, "mean"])
+
+    parts = min(len(seeds) * n_boot, 4 * spark.sparkContext.defaultParallelism)
+    return spark.range(0, len(seeds) * n_boot, 1, parts).mapInArrow(work, schema)
+
+
 def interval(value: str, low: float = 0.025, high: float = 0.975) -> list[Column]:
     q = F.percentile(value, F.array(F.lit(low), F.lit(high)))
     return [F.element_at(q, 1).alias("ci_low"), F.element_at(q, 2).alias("ci_high")]

@@ -4,20 +4,35 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.functions.portable import sql_hash
 from plumbline.operators import resampling as B
 from plumbline.plans.inputs import PREDICTIONS, predictions, read, scores, scores_sql
 from plumbline.plans.registry import query
 
-N_BOOT = 100
+#: Fixed value: resamples of an interval.
+N_BOOT = 2000
 ROLES = ("model", "tree")
 
 
+def mixed_sql(name: str, keys: str, start: str, source: str) -> str:
+    """A WITH part of `keys` and h, the 32-bit mix of an expression over the source."""
+    last, parts = f"{name}0", [f"{name}0 AS (SELECT {keys}, CAST({start} AS UBIGINT) & 4294967295 AS h FROM {source})"]
+    steps = ["xor(h, h >> 16)", f"(h * {0x85EBCA6B}) & 4294967295", "xor(h, h >> 13)", f"(h * {0xC2B2AE35}) & 4294967295", "xor(h, h >> 16)"]
+    for k, step in enumerate(steps, 1):
+        new = name if k == len(steps) else f"{name}{k}"
+        parts.append(f"{new} AS (SELECT * REPLACE ({step} AS h) FROM {last})")
+        last = new
+    return ",\n".join(parts)
+
+
 def sql(roles=("model",), by="role, n_units", cluster="g", seeds=(0,)) -> str:
     """WITH parts: scores, per-cluster sums, draws, resampled means."""
+    asked = f"(SELECT unnest([{', '.join(map(str, seeds))}]) AS seed), range(0, {N_BOOT}) x(b)"
     return f"""{scores_sql(roles)}, sums AS (SELECT {cluster} AS k, {by}, sum(correct::DOUBLE) AS s, count(*) AS c FROM scores GROUP BY ALL),
 num AS (SELECT k, row_number() OVER (ORDER BY k) - 1 AS idx, count(*) OVER () AS n FROM (SELECT DISTINCT k FROM sums)),
-picked AS (SELECT seed, b, {sql_hash('seed', 'b', 'idx')} % n AS idx, count(*) AS m FROM num, range(0, {N_BOOT}) x(b), (SELECT unnest([{', '.join(map(str, seeds))}]) AS seed) GROUP BY ALL),
+{mixed_sql('resample', 'seed, b', f'seed * {B.SEED_STEP} + b', asked)},
+{mixed_sql('slot', 'idx, n', f'idx + {B.SLOT_STEP}', 'num')},
+{mixed_sql('pick', 'seed, b, n', 'xor(resample.h, slot.h)', 'resample, slot')},
+picked AS (SELECT seed, b, CAST((h * n::UBIGINT) >> 32 AS BIGINT) AS idx, count(*) AS m FROM pick GROUP BY ALL),
 means AS (SELECT seed, b, {by}, sum(s * m) / sum(c * m) AS mean FROM picked JOIN num USING (idx) JOIN sums USING (k) GROUP BY ALL)"""
 
 
@@ -86,7 +101,7 @@ def bs8(spark, d):
     return rounded(m.groupBy("role", "n_units").agg(*B.interval("mean")))
 
 
-SEEDS = (0, 1, 2, 3, 4)
+SEEDS = tuple(range(20))
 
 
 @query("bs9_seed_stability", f"WITH {sql(ROLES, seeds=SEEDS)}, {LEAD}, i AS (SELECT seed, n_units, quantile_cont(d, 0.025) AS lo, quantile_cont(d, 0.975) AS hi FROM d GROUP BY 1, 2), v AS (SELECT n_units, seed, CASE WHEN lo > 0 THEN 'above' WHEN hi < 0 THEN 'below' ELSE 'not_resolved' END AS v FROM i) SELECT n_units, count(*) AS n_seeds, count(DISTINCT v) AS n_readings, count(*) FILTER (v <> first) AS n_disagree FROM (SELECT *, arg_min(v, seed) OVER (PARTITION BY n_units) AS first FROM v) GROUP BY 1")
