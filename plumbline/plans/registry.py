@@ -24,6 +24,7 @@ def query(name: str, sql: str | None = None):
 
 from plumbline.plans import (  # noqa: E402, F401
     aggregate_queries,
+    clause_queries,
     function_queries,
     identity_queries,
     join_queries,
