@@ -58,17 +58,18 @@ def match_first(targets: DataFrame, candidates: DataFrame, digest: str, target_i
     return targets.join(best, digest, "left").select(target_id, "decoded", F.coalesce("n_matches", F.lit(0)).alias("n_matches"), (F.coalesce("n_matches", F.lit(0)) > 1).alias("tie"))
 
 
-def backed(tokens: DataFrame, token: str, banked: DataFrame, value: str, max_places: int = 12) -> DataFrame:
+def backed(tokens: DataFrame, token: str, banked: DataFrame, value: str) -> DataFrame:
     """tokens with `backed`: whether some banked value, times 1, 100 or 1/100, rounds to the token
     at its own precision. Values are rounded once per precision that occurs, and joined as equals."""
-    places = F.length(F.regexp_extract(token, r"\.(\d+)", 1))
-    asked = tokens.withColumn("_places", places).withColumn("_key", F.round(F.col(token).cast("double"), 12))
-    precisions = [r[0] for r in asked.select("_places").where(F.col("_places") <= max_places).distinct().collect()]  # a dozen at most
-    cells = F.array(*[F.struct(F.lit(p).alias("_places"), F.round(F.round(F.col(value) * m if m >= 1 else F.col(value) / 100.0, p), 12).alias("_key")) for p in precisions for m in (1.0, 100.0, 0.01)])
-    have = banked.select(F.explode(cells).alias("c")).select("c.*").distinct().withColumn("_hit", F.lit(True)) if precisions else None
-    if have is None:
-        return asked.withColumn("backed", F.lit(False)).drop("_places", "_key")
-    return asked.join(have, ["_places", "_key"], "left").withColumn("backed", F.coalesce("_hit", F.lit(False))).drop("_places", "_key", "_hit")
+    asked = tokens.withColumn("_places", F.length(F.regexp_extract(token, r"\.(\d+)", 1)))
+    precisions = sorted(r[0] for r in asked.select("_places").distinct().collect() if r[0] is not None)  # lengths of numbers, so few
+    if not precisions:
+        return asked.withColumn("backed", F.lit(False)).drop("_places")
+    at = lambda p, x: F.round(x, max(p, 12))
+    key = F.coalesce(*[F.when(F.col("_places") == p, at(p, F.col(token).cast("double"))) for p in precisions])
+    cells = F.array(*[F.struct(F.lit(p).alias("_places"), at(p, F.round(F.col(value) * m if m >= 1 else F.col(value) / 100.0, p)).alias("_key")) for p in precisions for m in (1.0, 100.0, 0.01)])
+    have = banked.select(F.explode(cells).alias("c")).select("c.*").distinct().withColumn("_hit", F.lit(True))
+    return asked.withColumn("_key", key).join(have, ["_places", "_key"], "left").withColumn("backed", F.coalesce("_hit", F.lit(False))).drop("_places", "_key", "_hit")
 
 
 def nearest(probe: DataFrame, train: DataFrame, key: str, features: str, label: str) -> DataFrame:

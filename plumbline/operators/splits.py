@@ -9,15 +9,33 @@ from plumbline.functions.portable import key_hash
 from plumbline.operators.windows import running_total
 
 
+#: Ranges of the 60-bit hash that a global order is cut into, each ordered by a task of its own.
+RANGE_BITS = 12
+
+
+def hash_order(df: DataFrame, seed: int, key: str, rank: str = "r") -> DataFrame:
+    """df with `rank` (from 1) in the seed's order over all rows, and their number `n`.
+
+    Hashes are even, so ranges of them hold about as many rows each; only the ranges' counts (2^12
+    rows) go through a window over everything."""
+    held = df.withColumn("_h", key_hash(seed, key)).withColumn("_range", F.shiftright("_h", 60 - RANGE_BITS))
+    counts = held.groupBy("_range").agg(F.count("*").alias("_c"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    starts = counts.select("_range", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"), F.sum("_c").over(whole).alias("n"))
+    own = F.row_number().over(Window.partitionBy("_range").orderBy("_h", key))
+    return held.join(F.broadcast(starts), "_range").withColumn(rank, F.col("_before") + own).drop("_h", "_range", "_before")  # 2^12 rows
+
+
 def ranked_groups(df: DataFrame, group: str, seed: int, within: list[str] | None = None) -> DataFrame:
     """The distinct groups, each with its place `r` (from 1) in the seed's order and their number `n`.
 
-    One row a group goes through the window; rows themselves are never ranked."""
-    keys = [*(within or []), group]
-    # as many windows as strata: a single global order is split by ranges of the hash first
-    ordered = df.select(*keys).distinct().withColumn("_h", key_hash(seed, group))
-    w = Window.partitionBy(*(within or [])).orderBy("_h", group)
-    return ordered.withColumn("r", F.row_number().over(w)).withColumn("n", F.count("*").over(Window.partitionBy(*(within or [])))).drop("_h")
+    One row a group is ordered; rows themselves are never ranked. With strata, each is ordered alone."""
+    if not within:
+        return hash_order(df.select(group).distinct(), seed, group)
+    ordered = df.select(*within, group).distinct().withColumn("_h", key_hash(seed, group))
+    w = Window.partitionBy(*within).orderBy("_h", group)
+    return ordered.withColumn("r", F.row_number().over(w)).withColumn("n", F.count("*").over(Window.partitionBy(*within))).drop("_h")
 
 
 def grouped_split(df: DataFrame, group: str, fraction: float, seed: int) -> DataFrame:
@@ -96,15 +114,11 @@ def sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
 
 
 def shuffled_labels(df: DataFrame, key: str, label: str, seed: int) -> DataFrame:
-    """df with `shuffled`: the same labels, dealt out in the seed's order. Within a stratum of the
-    key's hash two ranks are joined, so strata are shuffled in parallel."""
-    a = df.withColumn("_r", F.row_number().over(Window.partitionBy(stratum(key, seed)).orderBy(key))).withColumn("_s", stratum(key, seed))
-    b = df.select(F.col(label).alias("shuffled"), stratum(key, seed).alias("_s"), F.row_number().over(Window.partitionBy(stratum(key, seed)).orderBy(key_hash(seed + 1, key), key)).alias("_r"))
-    return a.join(b, ["_s", "_r"]).drop("_s", "_r")
-
-
-def stratum(key: str, seed: int, strata: int = 8) -> Column:
-    return F.pmod(key_hash(seed, key), F.lit(strata))
+    """df with `shuffled`: the same labels, permuted over all rows: the row at a place of one hash
+    order gets the label at that place of another."""
+    a = hash_order(df, seed, key, "_r").drop("n")
+    b = hash_order(df.select(key, F.col(label).alias("shuffled")), seed + 1, key, "_r").select("shuffled", "_r")
+    return a.join(b, "_r").drop("_r")
 
 
 def coverage(df: DataFrame, part: str, label: str, n_classes: int) -> DataFrame:

@@ -6,23 +6,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Value ranges that a running total over a whole table is cut into.
-RANGES = 1024
+RANGES = 256
 
 
 def running_total(df: DataFrame, order: str, value: str, out: str) -> DataFrame:
     """df with `out`: the sum of value over all rows of lesser or equal (numeric) order.
 
-    One global window would bring all rows to one task. Here rows fall into equal ranges of the
-    order column; range totals (RANGES rows) are run up in one small window, and each range runs
-    up its own rows."""
+    One global window would bring all rows to one task. Rows of equal order are summed first, so a
+    frequent value is one row; the distinct values fall into ranges cut at their quantiles, range
+    totals (RANGES rows) are run up in one small window, and each range runs up its own values."""
     x = F.col(order).cast("double")
-    ends = df.agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"))
-    width = F.when(F.col("_hi") > F.col("_lo"), F.col("_hi") - F.col("_lo"))
-    cut = df.crossJoin(F.broadcast(ends)).withColumn("_range", F.coalesce(F.least(F.floor((x - F.col("_lo")) / width * RANGES), F.lit(RANGES - 1)), F.lit(0))).drop("_lo", "_hi")  # one row
+    per = df.groupBy(order).agg(F.sum(value).alias("_v"))
+    cuts = per.agg(F.percentile_approx(x, [i / RANGES for i in range(1, RANGES)], 10 * RANGES).alias("_cuts"))  # one row
+    place = F.size(F.filter("_cuts", lambda c: c < x))
+    cut = per.crossJoin(F.broadcast(cuts)).withColumn("_range", place).drop("_cuts")  # one row
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    totals = cut.groupBy("_range").agg(F.sum(value).alias("_t")).select("_range", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_before"))
-    own = F.sum(value).over(Window.partitionBy("_range").orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    return cut.join(totals, "_range").withColumn(out, F.col("_before") + own).drop("_range", "_before")
+    totals = cut.groupBy("_range").agg(F.sum("_v").alias("_t")).select("_range", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_before"))
+    own = F.sum("_v").over(Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    upto = cut.join(F.broadcast(totals), "_range").select(order, (F.col("_before") + own).alias(out))  # RANGES rows
+    return df.join(upto, order)
 
 
 def ordinal(df: DataFrame, by: list[str], order: list[str], out: str = "ordinal") -> DataFrame:

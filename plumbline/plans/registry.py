@@ -29,6 +29,7 @@ from plumbline.plans import (  # noqa: E402, F401
     identity_queries,
     join_queries,
     model_queries,
+    reader_queries,
     resampling_queries,
     rule_queries,
     source_queries,

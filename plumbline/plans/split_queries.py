@@ -88,10 +88,9 @@ def sp11(spark, d):
     return S.sample(read(spark, d, "customer"), "c_custkey", 50, SEED).select("c_custkey", "c_mktsegment")
 
 
-@query("sp12_label_shuffle", f"""WITH {CORPUS}, s AS (SELECT *, {sql_hash('7', 'row_id')} % 8 AS s FROM corpus),
-a AS (SELECT row_id, y, s, row_number() OVER (PARTITION BY s ORDER BY row_id) AS r FROM s),
-b AS (SELECT y AS shuffled, s, row_number() OVER (PARTITION BY s ORDER BY {sql_hash('8', 'row_id')}, row_id) AS r FROM s)
-SELECT row_id, y, shuffled FROM a JOIN b USING (s, r)""")
+@query("sp12_label_shuffle", f"""WITH {CORPUS}, a AS (SELECT row_id, y, row_number() OVER (ORDER BY {sql_hash('7', 'row_id')}, row_id) AS r FROM corpus),
+b AS (SELECT y AS shuffled, row_number() OVER (ORDER BY {sql_hash('8', 'row_id')}, row_id) AS r FROM corpus)
+SELECT row_id, y, shuffled FROM a JOIN b USING (r)""")
 def sp12(spark, d):
     return S.shuffled_labels(corpus(spark, d), "row_id", "y", SEED).select("row_id", "y", "shuffled")
 
