@@ -98,3 +98,28 @@ def search(train: DataFrame, holdout: DataFrame, key: str, features: str, label:
         out = one if out is None else out.unionAll(one)
     place = F.row_number().over(Window.orderBy(F.desc_nulls_last("accuracy"), "listing"))  # a row a candidate
     return out.withColumn("selected", (place <= keep) & F.col("accuracy").isNotNull())
+
+
+def boosted_with_validation(train: DataFrame, validation: DataFrame, features: str, label: str, classes: list[int], tolerance: float = 0.001, **params) -> list:
+    """One boosted model a class (boosting in Spark is binary), each stopped early where the rows of
+    the explicit validation set no longer gain by `tolerance`. classes: the labels, a short list."""
+    both = train.withColumn("_val", F.lit(False)).unionByName(validation.withColumn("_val", F.lit(True)))
+    held = both.select(array_to_vector(F.col(features).cast("array<double>")).alias("features"), F.col(label).alias("_y"), "_val")
+
+    def fit(c: int):
+        model = GBTClassifier(validationIndicatorCol="_val", validationTol=tolerance, **params).fit(held.withColumn("label", (F.col("_y") == c).cast("double")))
+        return model.setRawPredictionCol(f"_r{c}").setProbabilityCol(f"_p{c}").setPredictionCol(f"_c{c}")
+
+    return [(c, fit(c)) for c in classes]
+
+
+def predicted_by_class(models: list, rows: DataFrame, key: str, features: str) -> DataFrame:
+    """key, prediction (the class of the highest probability, the first listed wins ties) and the
+    probabilities by class, scaled to 1: all models score a row where it is."""
+    out = rows.select(key, array_to_vector(F.col(features).cast("array<double>")).alias("features"))
+    for _, m in models:
+        out = m.transform(out)
+    p = F.array(*[vector_to_array(f"_p{c}")[1] for c, _ in models])
+    best = F.element_at(F.array(*[F.lit(c) for c, _ in models]), F.array_position("_p", F.array_max("_p")).cast("int"))
+    total = F.aggregate("_p", F.lit(0.0), lambda a, x: a + x)
+    return out.select(key, p.alias("_p")).select(key, best.alias("prediction"), F.transform("_p", lambda x: x / total).alias("probability"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.portable import sql_hash
 from plumbline.operators import metrics
 from plumbline.operators import models as M
+from plumbline.operators import rules as R
 from plumbline.plans.inputs import CORPUS, corpus, read
 from plumbline.plans.registry import query
 
@@ -45,13 +46,25 @@ def ml2(spark, d):
 @query("ml3_main_model")
 def ml3(spark, d):
     c = corpus(spark, d)
-    p = M.predicted(M.fitted(c.where(train()), "forest", "features", "y", numTrees=20, seed=7), c.where(~train()), "row_id", "features")
+    valid = F.col("g") % 10 == 0
+    classes = [r["y"] for r in c.select("y").distinct().orderBy("y").collect()]  # a short list
+    models = M.boosted_with_validation(c.where(train() & ~valid), c.where(train() & valid), "features", "y", classes, maxIter=4, maxDepth=2, seed=7)
+    p = M.predicted_by_class(models, c.where(~train()), "row_id", "features")
     return c.where(~train()).join(p, "row_id").agg(F.round(F.avg((F.col("prediction") == F.col("y")).cast("double")), 4).alias("accuracy"), F.count("*").alias("n"))
 
 
+#: Small settings, one for each family of the registry.
+SETTINGS = {"tree": {"maxDepth": 3}, "logistic": {"maxIter": 10}, "forest": {"numTrees": 5, "seed": 7}, "boosted": {"maxIter": 2, "maxDepth": 2, "seed": 7}}
+
+
 @query("ml4_estimator_registry")
 def ml4(spark, d):
-    return spark.createDataFrame([(n,) for n in sorted(M.ESTIMATORS)], "family string")
+    c, out = corpus(spark, d), None
+    for family in sorted(SETTINGS):
+        p = M.predicted(M.fitted(c.where(train()), family, "features", "y", **SETTINGS[family]), c.where(~train()), "row_id", "features")
+        one = c.where(~train()).join(p, "row_id").agg(F.lit(family).alias("family"), F.round(F.avg((F.col("prediction") == F.col("y")).cast("double")), 4).alias("accuracy"))
+        out = one if out is None else out.unionAll(one)
+    return out
 
 
 @query("ml5_recipe_search")
@@ -70,4 +83,26 @@ def ml7(spark, d):
 def ml8(spark, d):
     c = corpus(spark, d)
     m = M.fitted(c.where(train()), "logistic", "features", "y", maxIter=20)
-    return M.predicted(m, c.where(~train()), "row_id", "features", probability=True).select("row_id", "prediction", F.size("probability").alias("n_classes"))
+    p = M.predicted(m, c.where(~train()), "row_id", "features", probability=True)
+    return p.select("row_id", "prediction", F.posexplode("probability").alias("class", "p"))
+
+
+@query("ud1_extension_points", "SELECT s_suppkey, CASE WHEN s_acctbal > 5000 THEN 'RICH' ELSE 'POOR' END AS verdict, 0 AS guess, 'own' || CAST(s_suppkey % 3 AS VARCHAR) AS fam FROM supplier")
+def ud1(spark, d):
+    """A caller's rule set, estimator and generator, used through the same registries."""
+
+    class Constant:
+        def fit(self, rows):
+            return self
+
+        def transform(self, rows):
+            return rows.withColumn("prediction", F.lit(0.0))
+
+    R.RULES["callers_rule"] = lambda df: R.verdict(df, [("balance", F.col("s_acctbal") > 5000)], "RICH", "POOR")
+    M.ESTIMATORS["callers_constant"] = lambda **p: Constant()
+    generators = {i: (lambda key, i=i: F.concat(F.lit("own"), F.lit(str(i)))) for i in range(3)}
+    s = read(spark, d, "supplier").withColumn("v", F.array("s_acctbal"))
+    guess = M.predicted(M.fitted(s.withColumn("y", F.lit(0)), "callers_constant", "v", "y"), s, "s_suppkey", "v")
+    fam = F.coalesce(*[F.when(F.col("s_suppkey") % 3 == i, g("s_suppkey")) for i, g in generators.items()])
+    out = R.RULES["callers_rule"](s).join(guess, "s_suppkey")
+    return out.select("s_suppkey", "verdict", F.col("prediction").alias("guess"), fam.alias("fam"))

@@ -13,7 +13,7 @@ from plumbline.plans.registry import query
 #: Fields that are not numbers on a ladder: expressions of the key k that both engines read alike.
 TEXTS = {"g1_verdict": "PASS", "g4_verdict": "PASS", "recommendation": "SELECT", "withholding_mode": "physics", "market_event": "x", "market_event_url": "x", "licence_url": "x", "mechanism": "x", "buyer_type": "x"}
 WHOLE = {"n_rungs": 4, "n_test_epochs": 20000, "n_satellites": 20, "n_train": 100, "matched_rung": 100, "post_event_efforts": 1, "units": 1000000, "n_queries": 3, "n_queries_ok": 3, "laws_survived": 4, "laws_with_reason": 4, "families_clearing": 5, "families_needed": 5, "n": 1000}
-REAL = {"decades_spanned": 2.0, "months_ago": 24.0, "bytes_per_unit": 20000.0, "chance": 0.04, "correct": 89.0, "other_correct": 30.0, "slope": 0.12, "slope_bar": 0.12, "entropy_bits": 2.0, "margin_over_baseline": 0.06, "null_train": 0.4}
+REAL = {"decades_spanned": 2.0, "months_ago": 24.0, "bytes_per_unit": 20000.0, "chance": 0.04, "correct": 89.0, "other_correct": 39.0, "slope": 0.12, "slope_bar": 0.12, "entropy_bits": 2.0, "margin_over_baseline": 0.06, "null_train": 0.4}
 LOW = ("shuffled", "null", "frozen", "expanded", "trivial", "feature", "pooled", "baseline", "floored", "best")
 
 

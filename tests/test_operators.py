@@ -241,3 +241,45 @@ def test_streams(spark, tmp_path):
     assert sorted((r["name"], r["n_open"], r["n_completed"]) for r in run(ledger.open_attempts(rows.where("event <> 'unparseable'")), "open_t", "update")) == [("a", 0, 1), ("b", 1, 0)]
     assert sorted((r["name"], r["n_started"], r["n_completed"]) for r in run(ledger.attempts(rows.where("name is not null"), "ts"), "att_t", "complete")) == [("a", 1, 1), ("b", 1, 0)]
     assert sorted((r["name"], r["n"]) for r in run(ledger.heartbeats(rows.where("name is not null"), "ts", "t"), "beat_t", "complete")) == [("a", 2), ("b", 1)]
+
+
+def test_feature_rows_equal_features_one_by_one():
+    r = np.random.default_rng(0)
+    odd = [b"", b"a", b"\x00" * 7, b"\x00" * 8, b"ab" * 4 + b"c", b"\xff" * 200, b"\x00\xff\xff\x00" * 40, bytes(r.integers(97, 100, 300, np.uint8))]
+    rows = odd + [r.integers(0, 256, int(n), np.uint8).tobytes() for n in r.integers(0, 700, 60)]
+    assert np.abs(BF.feature_rows(rows) - np.stack([BF.features(x) for x in rows])).max() < 1e-9
+
+
+def test_bootstraps_agree_by_array_and_by_join(spark, monkeypatch):
+    rows = [(role, n, i, i % 17, (i * 7 + n) % 3 % 2) for role in ("a", "b") for n in (10, 100) for i in range(200)]
+    df = spark.createDataFrame(rows, "role string, n_units long, row_id long, g long, correct int").where("not (role = 'b' and g = 3)")
+    ask = lambda: sorted(map(tuple, resampling.resampled_means(df, "g", ["role", "n_units"], 30, [0, 5]).collect()))
+    by_array = ask()
+    monkeypatch.setattr(resampling, "MAX_SUMS", 3)
+    by_join = ask()
+    assert len(by_array) == 30 * 2 * 4 and [x[:4] for x in by_array] == [x[:4] for x in by_join]
+    assert [x[4] for x in by_array] == pytest.approx([x[4] for x in by_join])
+
+
+def test_draws_are_even():
+    n = 50
+    counts = np.bincount(np.concatenate([resampling.drawn(3, b, resampling.slot_hashes(np.arange(n)), n) for b in range(4000)]), minlength=n)
+    assert abs(counts / 4000 - 1).max() < 0.1  # each slot draws each cluster alike
+
+
+def test_hash_order_and_shuffle_are_whole(spark):
+    df = spark.createDataFrame([(i, i % 5) for i in range(3000)], "k long, y int")
+    got = splits.hash_order(df, 7, "k").collect()
+    assert sorted(r["r"] for r in got) == list(range(1, 3001)) and {r["n"] for r in got} == {3000}
+    shuffled = splits.shuffled_labels(df, "k", "y", 7).collect()
+    assert sorted(r["shuffled"] for r in shuffled) == sorted(r["y"] for r in shuffled) and sum(r["shuffled"] != r["y"] for r in shuffled) > 2000
+
+
+def test_every_condition_of_a_reader_can_decide(spark):
+    from plumbline.operators import readers
+    from plumbline.plans import reader_queries
+
+    for name, reader in readers.READERS.items():
+        rows = readers.read_verdict(reader_queries.rows(spark, "/root/testdata/sf0.01", reader), name).select("failed", "verdict").distinct().collect()
+        assert {r["verdict"] for r in rows} == {*(t.verdict for t in reader.tiers), reader.passed}, name
+        assert {x for r in rows for x in r["failed"]} == {c for t in reader.tiers for c in t.conditions}, name
