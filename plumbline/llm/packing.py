@@ -15,7 +15,7 @@ packed row by row; extra columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
-import heapq
+import bisect
 import zlib
 from collections.abc import Iterator
 
@@ -171,44 +171,33 @@ def fitted(left: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]
 
 
 def best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """Best fit, longest first, over counts: bins that hold the same are kept as one entry."""
-    free: dict[int, list[list]] = {}
-    order: list[int] = []
+    """Best fit, longest first, over counts: bins that hold the same are kept as one entry, and the
+    least room that takes a length is found in a sorted list of the rooms there are."""
+    free: dict[int, list[tuple]] = {}
+    rooms: list[int] = []
 
     def put(room: int, items: tuple, count: int) -> None:
         if count:
-            if room not in free or not free[room]:
+            if not free.get(room):
                 free[room] = []
-                heapq.heappush(order, room)
-            free[room].append([items, count])
+                bisect.insort(rooms, room)
+            free[room].append((items, count))
 
     for length in sorted(histogram, reverse=True):
         left = histogram[length]
-        skipped = []
-        while left and order:
-            room = heapq.heappop(order)
-            if not free.get(room):
-                free.pop(room, None)
-                continue
-            if room < length:
-                skipped.append(room)
-                continue
+        while left and (at := bisect.bisect_left(rooms, length)) < len(rooms):
+            room = rooms[at]
             items, count = free[room].pop()
-            if free[room]:
-                heapq.heappush(order, room)
+            if not free[room]:
+                rooms.pop(at)
             each = room // length
             full = min(count, left // each)
-            if full:
-                put(room - each * length, (*items, *[length] * each), full)
-                left -= full * each
-            rest = count - full
+            put(room - each * length, (*items, *[length] * each), full)
+            left, rest = left - full * each, count - full
             if rest and 0 < left < each:
                 put(room - left * length, (*items, *[length] * left), 1)
                 left, rest = 0, rest - 1
             put(room, items, rest)
-        for room in skipped:
-            if free.get(room) and room not in order:
-                heapq.heappush(order, room)
         each = capacity // length
         put(capacity - each * length, (length,) * each, left // each)
         put(capacity - left % each * length, (length,) * (left % each), 1 if left % each else 0)
