@@ -153,13 +153,13 @@ class Words:
             term = code[inside].astype(U64) * powers(0x9E3779B97F4A7C15, int(size.max()))[place]
             self.hash = mix(np.add.reduceat(term, begin) + size.astype(U64) * U64(0xC2B2AE3D27D4EB4F))
 
-    def grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def grams(self, k: int, base: int = 0xA24BAED4963EE407) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the k words from each word on, and whether they lie in one document."""
         n = len(self.start)
         if n < k:
             return np.zeros(n, U64), np.zeros(n, bool)
         total = np.zeros(n - k + 1, U64)
-        for j, w in enumerate(powers(0xA24BAED4963EE407, k)):
+        for j, w in enumerate(powers(base, k)):
             total += self.hash[j : n - k + 1 + j] * w
         out = np.zeros(n, U64)
         out[: n - k + 1] = mix(total + U64(k))
