@@ -1,8 +1,9 @@
 """URL filters: host-suffix and path-prefix expressions, joined with rules on short hash prefixes.
 
 Each distinct URL is expanded into the expressions (host suffix, path prefix) that a rule of the
-given rule set could have: suffixes of as many labels, and prefixes of as many characters, as some
-rule has. Expressions and rules meet on the first eight hex digits of their SHA-256; the full
+given rule set could have: suffixes of as many labels as some rule, and of these the prefixes of as
+many characters as some rule of so many labels. The shapes of the rules are a table, joined by
+label count. Expressions and rules meet on the first eight hex digits of their SHA-256; the full
 digest confirms a match, and the longest rule wins (ties: the longer host, then block).
 
 Defined cases: a null URL or one without `://` has an empty host and path and fits no rule unless a
@@ -47,12 +48,16 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.coalesce(lower_ascii(host), F.lit("")), F.coalesce(F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def n_labels(host: Column) -> Column:
+    return F.when(host == "", 0).otherwise(F.size(F.split(host, r"\.")))
+
+
 def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT_VERDICT) -> DataFrame:
     """page_id, host, path, rule (host and path of the winning rule, else null), verdict."""
     rules = rules.where("host is not null and path is not null")
-    labels = F.when(F.col("host") == "", 0).otherwise(F.size(F.split("host", r"\.")))
-    # shapes, not rules: as many rows as there are label counts times path lengths among the rules
-    shapes = rules.select(labels.alias("n_labels"), F.length("path").alias("n_path")).distinct().collect()
+    # one row a label count, with the path lengths of its rules: at most as many rows as the deepest rule has
+    # labels, of at most as many numbers as the longest path has characters
+    shapes = rules.groupBy(n_labels(F.col("host")).alias("shape_labels")).agg(F.collect_set(F.length("path")).alias("lengths"))
     ruled = rules.select(
         digest(F.col("host"), F.col("path")).alias("rule_digest"),
         F.concat("host", "path").alias("rule"),
@@ -60,13 +65,12 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT_VERDICT) ->
     ).withColumn("prefix", F.left("rule_digest", F.lit(PREFIX_DIGITS)))
     host, path = host_and_path(F.col("url"))
     urls = pages.select("url").distinct().where("url is not null").select("url", host.alias("host"), path.alias("path"))
-    n = F.when(F.col("host") == "", 0).otherwise(F.size(F.split("host", r"\.")))
-    wanted = [
-        F.when((n >= s["n_labels"]) & (F.length("path") >= s["n_path"]), digest(F.substring_index("host", ".", -s["n_labels"]) if s["n_labels"] else F.lit(""), F.left("path", F.lit(s["n_path"]))))
-        for s in shapes
-    ]
-    expressions = F.array_compact(F.array(*wanted)) if wanted else F.array().cast("array<string>")
-    expanded = urls.select("url", F.explode(expressions).alias("url_digest")).withColumn("prefix", F.left("url_digest", F.lit(PREFIX_DIGITS)))
+    # label counts meet the shapes first, so only suffixes that a rule can have are made
+    counts = urls.select("url", "host", "path", F.explode(F.sequence(F.lit(0), n_labels(F.col("host")))).alias("shape_labels"))
+    suffixed = counts.join(F.broadcast(shapes), "shape_labels").withColumn("suffix", F.call_function("substring_index", F.col("host"), F.lit("."), -F.col("shape_labels")))
+    fitting = F.filter("lengths", lambda k: k <= F.length("path"))
+    expressions = F.transform(fitting, lambda k: digest(F.col("suffix"), F.left(F.col("path"), k)))
+    expanded = suffixed.select("url", F.explode(expressions).alias("url_digest")).withColumn("prefix", F.left("url_digest", F.lit(PREFIX_DIGITS)))
     won = (
         expanded.join(ruled, "prefix").where("url_digest = rule_digest")
         .groupBy("url").agg(F.max("rank").alias("best")).select(F.col("url").alias("judged_url"), "best.rule", "best.verdict")
