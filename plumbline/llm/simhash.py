@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -297,10 +298,13 @@ BINS = 128
 #: Standard errors around the asked similarity within which an estimate leaves the pair open, to be
 #: counted exactly.
 SLACK = 5.0
-#: Rounds in which a spanning forest of the open pairs is counted; then all that are still apart are.
+#: Rounds in which a spanning forest of the open pairs is counted; then all that are still apart are,
+#: where they meet.
 FOREST_ROUNDS = 2
 #: Members of one band key that meet in one task; larger ones are dealt out in pairs of tiles.
 TILE = 8192
+#: Bytes of shingle sets of one band key that meet in one task at most, twice.
+TILE_BYTES = 32 << 20
 
 
 def wide_radius(similarity: float) -> int:
@@ -349,19 +353,52 @@ def sketches(docs: DataFrame, shingle_words: int = SIMILAR_WORDS) -> DataFrame:
     return own.mapInArrow(work, "doc_id long, text_hash long, fp long, bits long, sketch binary, keys array<long>")
 
 
-def similar_links(nodes: DataFrame, similarity: float = SIMILARITY, every: bool = False) -> DataFrame:
-    """nodes: fp, root (what confirmed links reach from it), bits, sketch, keys (distinct). Links
-    (a, b, sure) between nodes of different roots: a forest of those that are sure by their sketches,
-    and of the open pairs between its trees another forest or, if asked, every one."""
-    dealt = nodes.select("fp", "root", F.posexplode("keys").alias("side", "key"))
-    mixed = dealt.groupBy("side", "key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    mixed = materialise(mixed.select(F.col("side").alias("h_side"), F.col("key").alias("h_key"), F.ceil(F.col("n") / TILE).cast("int").alias("tiles")), "mixed_keys")
+def dealt_pairs(nodes: DataFrame, tiles: DataFrame) -> DataFrame:
+    """side, key, t, u and the nodes' own columns: the members of each key of `tiles`, once for each pair
+    of tiles that they belong to, in groups by key and pair of tiles."""
     own = F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda i: F.struct(F.least(i, own).alias("t"), F.greatest(i, own).alias("u")))
-    dealt = dealt.join(mixed, (F.col("side") == F.col("h_side")) & (F.col("key") == F.col("h_key")))
-    dealt = dealt.select("side", "key", F.explode(pairs).alias("p"), "fp").join(nodes.select("fp", "root", "bits", "sketch"), "fp")
-    dealt = dealt.select("side", "key", "p.t", "p.u", "fp", "root", "bits", "sketch")
-    dealt = dealt.repartition("side", "key", "t", "u").sortWithinPartitions("side", "key", "t", "u", "bits", "fp")
+    dealt = nodes.select("fp", F.posexplode("keys").alias("side", "key")).join(tiles, (F.col("side") == F.col("h_side")) & (F.col("key") == F.col("h_key")))
+    return dealt.select("side", "key", F.explode(pairs).alias("p"), "fp").select("side", "key", "p.t", "p.u", "fp")
+
+
+def in_groups(dealt: DataFrame) -> DataFrame:
+    return dealt.repartition("side", "key", "t", "u").sortWithinPartitions("side", "key", "t", "u", "bits", "fp")
+
+
+def mixed_keys(nodes: DataFrame) -> DataFrame:
+    """h_side, h_key, tiles: the keys whose members have different roots."""
+    dealt = nodes.select("fp", "root", F.posexplode("keys").alias("side", "key"))
+    mixed = dealt.groupBy("side", "key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    return materialise(mixed.select(F.col("side").alias("h_side"), F.col("key").alias("h_key"), F.ceil(F.col("n") / TILE).cast("int").alias("tiles")), "mixed_keys")
+
+
+def rooted_forest(roots: np.ndarray) -> Forest:
+    """A forest in which members of the same root are joined."""
+    forest = Forest(len(roots))
+    _, first, of = np.unique(roots, return_index=True, return_inverse=True)
+    for x, y in enumerate(first[of].tolist()):
+        forest.join(x, y)
+    return forest
+
+
+def apart(forest: Forest, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs that the forest does not connect."""
+    roots = np.fromiter(map(forest.root, np.concatenate([i, j]).tolist()), np.int64, 2 * len(i))
+    far = roots[: len(i)] != roots[len(i) :]
+    return i[far], j[far]
+
+
+def marks_of(t: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint8).reshape(-1, BINS)
+
+
+def similar_links(nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """nodes: fp, root (what confirmed links reach from it), bits, sketch, keys (distinct). Links
+    (a, b, sure) between nodes of different roots: a forest of those that are sure by their sketches,
+    and of the open pairs between its trees another forest."""
+    dealt = dealt_pairs(nodes, mixed_keys(nodes)).join(nodes.select("fp", "root", "bits", "sketch"), "fp")
+    dealt = in_groups(dealt.select("side", "key", "t", "u", "fp", "root", "bits", "sketch"))
     radius = wide_radius(similarity)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -370,31 +407,88 @@ def similar_links(nodes: DataFrame, similarity: float = SIMILARITY, every: bool
             return pa.RecordBatch.from_arrays([pa.array(ends.min(1)), pa.array(ends.max(1)), pa.array(np.full(len(ends), sure))], names=["a", "b", "sure"])
 
         for t in whole_groups(batches, 4):
-            fp, marks = t["fp"].to_numpy(), np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint8).reshape(-1, BINS)
-            forest, maybe, links = Forest(len(fp)), Forest(len(fp)), []  # maybe: with the open pairs
-            _, first, of = np.unique(t["root"].to_numpy(), return_index=True, return_inverse=True)
-            for x, y in enumerate(first[of].tolist()):
-                forest.join(x, y), maybe.join(x, y)
+            fp, marks, roots, links = t["fp"].to_numpy(), marks_of(t), t["root"].to_numpy(), []
+            forest, maybe = rooted_forest(roots), rooted_forest(roots)  # maybe: with the open pairs
             for i, j in within(t["bits"].to_numpy().view(U64), t["group"].to_numpy(), radius):
                 for at in range(0, len(i), 4096):
-                    a, b = i[at : at + 4096], j[at : at + 4096]
-                    held = forest if every else maybe
-                    roots = np.fromiter(map(held.root, np.concatenate([a, b]).tolist()), np.int64, 2 * len(a))
-                    apart = roots[: len(a)] != roots[len(a) :]  # what is connected needs no further link
-                    a, b = a[apart], b[apart]
+                    a, b = apart(maybe, i[at : at + 4096], j[at : at + 4096])  # what is connected needs no further link
                     low, high = alike(marks[a], marks[b], similarity)
                     for x, y in zip(a[low].tolist(), b[low].tolist(), strict=True):
                         maybe.join(x, y)
                         if forest.join(x, y):
                             links.append((x, y))
-                    again = zip(a[high & ~low].tolist(), b[high & ~low].tolist(), strict=True)
-                    if found := [(x, y) for x, y in again if (forest.root(x) != forest.root(y) if every else maybe.join(x, y))]:
+                    if found := [(x, y) for x, y in zip(a[high & ~low].tolist(), b[high & ~low].tolist(), strict=True) if maybe.join(x, y)]:
                         yield out(fp, found, False)
             yield out(fp, links, True)
 
     return dealt.mapInArrow(work, "a long, b long, sure boolean").distinct()
 
 
+def open_pairs(t: pa.Table, forest: Forest, marks: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Index pairs of groups (with bits, keys, side) that the forest does not connect when they are
+    reached, that may have the similarity, and whether their sketches are sure of it. Each pair has
+    one key that it is judged at: the first that both have."""
+    keys = pc.list_flatten(t["keys"]).to_numpy().reshape(-1, BANDS)
+    side = t["side"].to_numpy()
+    for i, j in within(t["bits"].to_numpy().view(U64), t["group"].to_numpy(), wide_radius(similarity)):
+        for at in range(0, len(i), 4096):
+            a, b = apart(forest, i[at : at + 4096], j[at : at + 4096])
+            here = (keys[a] == keys[b]).argmax(1) == side[a]
+            a, b = a[here], b[here]
+            low, high = alike(marks[a], marks[b], similarity)
+            yield a[high], b[high], low[high]
+
+
+def last_links(nodes: DataFrame, docs: DataFrame, made: DataFrame, shingle_words: int, similarity: float = SIMILARITY) -> DataFrame:
+    """Links (a, b) between nodes of different roots that connect all pairs of the similarity: every
+    open pair is counted where its members meet, until they are connected, so that what comes out is a
+    forest for each group and never its pairs. Shingle sets go only to keys at which a node has one."""
+    dealt = dealt_pairs(nodes, mixed_keys(nodes)).join(nodes.select("fp", "root", "bits", "sketch", "keys"), "fp")
+    dealt = in_groups(dealt.select("side", "key", "t", "u", "fp", "root", "bits", "sketch", "keys"))
+
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches, 4, 10_000):
+            hit, forest = np.zeros(len(t), bool), rooted_forest(t["root"].to_numpy())
+            for a, b, _ in open_pairs(t, forest, marks_of(t), similarity):
+                hit[a] = hit[b] = True
+            for batch in t.select(["side", "key", "fp"]).filter(pa.array(hit)).combine_chunks().to_batches():
+                yield batch
+
+    held = materialise(dealt.mapInArrow(members, "side int, key long, fp long").distinct(), "open_members")
+    ends = held.select("fp").distinct()
+    wanted = made.join(ends, "fp", "left_semi").where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
+    sets = materialise(shingle_sets(docs, wanted, shingle_words), "shingle_sets")
+    sized = held.join(sets.select("fp", F.length("hashes").alias("size")), "fp").groupBy("side", "key").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    tiles = F.ceil(F.greatest(F.col("n") / TILE, F.col("size") / TILE_BYTES)).cast("int")
+    own = F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda i: F.struct(F.least(i, own).alias("t"), F.greatest(i, own).alias("u")))
+    again = held.join(sized.select("side", "key", tiles.alias("tiles")), ["side", "key"]).select("side", "key", F.explode(pairs).alias("p"), "fp")
+    again = again.join(nodes.select("fp", "root", "bits", "sketch", "keys"), "fp").join(sets, "fp")
+    again = in_groups(again.select("side", "key", "p.t", "p.u", "fp", "root", "bits", "sketch", "keys", "hashes"))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches, 4, 1000):
+            fp, forest, links = t["fp"].to_numpy(), rooted_forest(t["root"].to_numpy()), []
+            sets = [np.frombuffer(x.as_buffer(), U64) for x in t["hashes"]]
+            for a, b, sure in open_pairs(t, forest, marks_of(t), similarity):
+                for x, y, known in zip(a.tolist(), b.tolist(), sure.tolist(), strict=True):
+                    if forest.root(x) != forest.root(y) and (known or as_alike(sets[x], sets[y], similarity)):
+                        forest.join(x, y)
+                        links.append((x, y))
+            ends = fp[np.array(links, np.int64).reshape(-1, 2)]
+            yield pa.RecordBatch.from_arrays([pa.array(ends.min(1)), pa.array(ends.max(1))], names=["a", "b"])
+
+    return again.mapInArrow(counted, "a long, b long").distinct()
+
+
+def as_alike(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    """Whether two sorted sets have the similarity."""
+    if min(len(x), len(y)) < similarity * max(len(x), len(y)):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= similarity * (len(x) + len(y) - both)
+
+
 def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """Whether the sketches' share of equal bins, among those that either has, reaches the asked
     similarity for sure, and whether it may."""
@@ -428,9 +522,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
         for batch in batches:
             ok = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, U64), np.frombuffer(y, U64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(both >= similarity * (len(x) + len(y) - both))
+                ok.append(as_alike(np.frombuffer(x, U64), np.frombuffer(y, U64), similarity))
             yield batch.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
 
     return pairs.join(first, "a").join(second, "b").select("a", "b", "set_a", "set_b").mapInArrow(work, "a long, b long")
@@ -447,8 +539,8 @@ def similar_groups(docs: DataFrame, shingle_words: int = SIMILAR_WORDS, similari
     made = materialise(sketches(docs, shingle_words), "sketches")
     nodes = made.select("fp", "bits", "sketch", "keys").dropDuplicates(["fp"])
     rooted, links, asked = nodes.withColumn("root", F.col("fp")), None, None
-    for step in range(FOREST_ROUNDS + 1):
-        found = materialise(similar_links(rooted, similarity, step == FOREST_ROUNDS), "similar_links")
+    for _ in range(FOREST_ROUNDS):
+        found = materialise(similar_links(rooted, similarity), "similar_links")
         unsure = found.groupBy("a", "b").agg(F.max("sure").alias("sure")).where("not sure").select("a", "b")
         unsure = unsure if asked is None else unsure.join(asked, ["a", "b"], "left_anti")  # what was counted stays as it was
         ends = unsure.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
@@ -456,8 +548,10 @@ def similar_groups(docs: DataFrame, shingle_words: int = SIMILAR_WORDS, similari
         checked = materialise(confirmed(unsure, shingle_sets(docs, wanted, shingle_words), similarity), "confirmed")
         new = found.where("sure").select("a", "b").unionAll(checked)
         links, asked = (new, unsure) if links is None else (links.unionAll(new), asked.unionAll(unsure))
-        if step == FOREST_ROUNDS or not found.limit(1).count():
+        if not found.limit(1).count():
             break
         roots = materialise(components(links), "roots")
         rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "bits", "sketch", "keys")
+    else:
+        links = links.unionAll(materialise(last_links(rooted, docs, made, shingle_words, similarity), "last_links"))
     return named(made.select("doc_id", "text_hash", "fp"), links).select("doc_id", "text_hash", "component_id", "root")

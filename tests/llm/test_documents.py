@@ -225,6 +225,26 @@ def test_pairs_at_the_bar_are_counted_exactly(spark):
     assert [got[2 * i + 1] == 2 * i for i in range(400)] == alike
 
 
+def test_pairs_below_the_bar_never_come_out(spark, monkeypatch):
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    base = [word() for _ in range(304)]
+    rows = [(i, " ".join(base[: 304 - 40] + [word() for _ in range(40)])) for i in range(60)]  # 0.76 by pairs: open, and never linked
+    rows += [(60, rows[7][1] + " " + word()), (61, rows[7][1] + " " + word())]
+    made, put = [], simhash.materialise
+
+    def counted(df, label):
+        out = put(df, label)
+        made.append((label, out.count()))
+        return out
+
+    monkeypatch.setattr(simhash, "materialise", counted)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i for i in range(60)} | {60: 7, 61: 7}
+    assert max(n for label, n in made if label.endswith("_links")) < 10 * len(rows)  # 1,830 pairs
+
+
+
 # 3
 
 
