@@ -283,3 +283,33 @@ def test_every_condition_of_a_reader_can_decide(spark):
         rows = readers.read_verdict(reader_queries.rows(spark, "/root/testdata/sf0.01", reader), name).select("failed", "verdict").distinct().collect()
         assert {r["verdict"] for r in rows} == {*(t.verdict for t in reader.tiers), reader.passed}, name
         assert {x for r in rows for x in r["failed"]} == {c for t in reader.tiers for c in t.conditions}, name
+
+
+@pytest.mark.parametrize("slice_rows", [7, 1 << 16])
+def test_packed_sums_agree_with_a_plain_bootstrap(spark, monkeypatch, slice_rows):
+    """Also with few patterns, patterns as many as clusters, a null cluster (last, and without sums) and missing curves."""
+    monkeypatch.setattr(resampling, "SLICE", slice_rows)
+    for values in (2, 1000):
+        rows = [(role, n, None if i % 41 == 40 else i % 41, (i * i + n) % values) for role in ("a", None) for n in (10, 100) for i in range(200)]
+        rows = [x for x in rows if x[:3] != (None, 10, 3)]
+        df = spark.createDataFrame(rows, "role string, n_units long, g long, correct int")
+        got = {(x["seed"], x["b"], x["role"], x["n_units"]): x["mean"] for x in resampling.resampled_means(df, "g", ["role", "n_units"], 20, [0, 5]).collect()}
+        slots, want = resampling.slot_hashes(np.arange(41)), {}
+        for seed in (0, 5):
+            for b in range(20):
+                m = np.bincount(resampling.drawn(seed, b, slots, 41), minlength=41)
+                for role in ("a", None):
+                    for n in (10, 100):
+                        own = [(m[g], v) for r, k, g, v in rows if (r, k) == (role, n) and g is not None]
+                        want[seed, b, role, n] = sum(w * v for w, v in own) / sum(w for w, _ in own)
+        assert got == want
+
+
+def test_no_sums_of_a_bootstrap_go_through_the_driver(spark, monkeypatch):
+    taken = []
+    for name in ("toArrow", "collect", "toPandas"):
+        put = getattr(type(spark.range(1)), name)
+        monkeypatch.setattr(type(spark.range(1)), name, lambda self, put=put: taken.append(len(out := put(self))) or out)
+    df = spark.range(3000).selectExpr("1L as n_units", "id as row_id", "cast(id % 2 as int) as correct")
+    resampling.resampled_means(df, "row_id", ["n_units"], 3, [0]).write.format("noop").mode("overwrite").save()
+    assert max(taken, default=0) <= 1
