@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +37,85 @@ def window_hashes(df: DataFrame, key: str, text: str, width: int, stride: int =
     return at.select(key, F.col("pos").cast("long").alias("pos"), F.md5("_w").alias("hash"), (F.col("_w") == F.repeat(F.left("_w", F.lit(2)), F.lit(width))).alias("constant"))
 
 
+#: Windows that are sorted at once; a key of more is counted in classes of windows of about so many.
+WINDOWS = 1 << 22
+
+
+def mixed(columns: list[np.ndarray]) -> np.ndarray:
+    """A 64-bit hash of rows of 64-bit columns."""
+    h = np.zeros(len(columns[0]), np.uint64)
+    for c in columns:
+        h = (h ^ c) * np.uint64(0x9FB21C651E98DF25)
+        h ^= h >> np.uint64(32)
+    return h
+
+
+def distinct_rows(group: np.ndarray, columns: list[np.ndarray], n: int) -> np.ndarray:
+    """Distinct rows of 64-bit columns in each of n groups. Rows are sorted by a hash and compared; only
+    where hashes of different rows meet are they sorted by themselves."""
+    columns = [*columns, group.astype(np.uint64)]
+    h = mixed(columns)
+    order = np.argsort(h)
+    if not len(h):
+        return np.zeros(n, np.int64)
+    near = h[order][1:] == h[order][:-1]
+    same = np.logical_and.reduce([c[order][1:] == c[order][:-1] for c in columns])
+    if (near & ~same).any():
+        order = np.lexsort(columns)
+        same = np.logical_and.reduce([c[order][1:] == c[order][:-1] for c in columns])
+    return np.bincount(group[order][np.concatenate(([True], ~same))], minlength=n)
+
+
+def count_windows(texts: list[bytes], group: list[int], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of `width` bytes at every offset of the texts, and distinct ones, by group (from 0 on)."""
+    n = group[-1] + 1
+    raw = np.frombuffer(b"".join(texts) + bytes(8), np.uint8)
+    word = raw[:-8].astype(np.uint64)  # the 8 bytes from each offset on (zeros after the end)
+    for i in range(1, min(8, width)):
+        word |= raw[i : len(raw) - 8 + i].astype(np.uint64) << np.uint64(8 * i)
+    size = np.array([len(t) for t in texts])
+    own = np.maximum(size - width + 1, 0)
+    start = np.repeat(np.cumsum(size) - size - (np.cumsum(own) - own), own) + np.arange(own.sum())
+    of = np.repeat(np.array(group), own)
+    at = [*range(0, width - 7, 8), *([width - 8] if width > 8 and width % 8 else [])] or [0]
+    classes = -(-len(start) // WINDOWS)
+    if classes <= 1:
+        distinct = distinct_rows(of, [word[start + i] for i in at], n)
+    else:
+        part = np.concatenate([mixed([word[start[k : k + WINDOWS] + i] for i in at]) >> np.uint64(32) for k in range(0, len(start), WINDOWS)]) % np.uint64(classes)
+        distinct = sum(distinct_rows(of[p], [word[start[p] + i] for i in at], n) for p in (np.flatnonzero(part == c) for c in range(classes)))
+    return np.bincount(of, minlength=n), distinct
+
+
+def window_counts(df: DataFrame, key: str, text: str, width: int) -> DataFrame:
+    """key, n, n_distinct: windows of `width` bytes at every offset of a key's texts; a key without any
+    has no row. Texts are dealt by key once, and windows never leave the task."""
+    dealt = df.select(key, F.encode(F.col(text), "UTF-8").alias("_t")).where("_t is not null").repartition(key).sortWithinPartitions(key)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out() -> pa.RecordBatch:
+            n, distinct = count_windows(texts, group, width)
+            there = np.flatnonzero(n)
+            return pa.RecordBatch.from_arrays([pa.array(keys, kind).take(pa.array(there)), pa.array(n[there]), pa.array(distinct[there])], names=[key, "n", "n_distinct"])
+
+        texts, group, keys, size, kind = [], [], [], 0, None
+        for batch in batches:
+            kind = batch.column(0).type
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if not keys or k != keys[-1]:
+                    if size >= WINDOWS // 4:
+                        yield out()
+                        texts, group, keys, size = [], [], [], 0
+                    keys.append(k)
+                texts.append(t)
+                group.append(len(keys) - 1)
+                size += len(t)
+        if keys:
+            yield out()
+
+    return dealt.mapInArrow(work, f"`{key}` {df.schema[key].dataType.simpleString()}, n long, n_distinct long")
+
+
 def longest_runs(matched: DataFrame, key: str, pos: str) -> DataFrame:
     """Longest run of consecutive places per key (gaps and islands): key, run."""
     island = F.col(pos) - F.row_number().over(Window.partitionBy(key).orderBy(pos))

@@ -313,3 +313,27 @@ def test_no_sums_of_a_bootstrap_go_through_the_driver(spark, monkeypatch):
     df = spark.range(3000).selectExpr("1L as n_units", "id as row_id", "cast(id % 2 as int) as correct")
     resampling.resampled_means(df, "row_id", ["n_units"], 3, [0]).write.format("noop").mode("overwrite").save()
     assert max(taken, default=0) <= 1
+
+
+@pytest.mark.parametrize(("width", "at_once"), [(16, 1 << 22), (16, 50), (5, 50), (8, 1 << 22), (19, 50)])
+def test_window_counts_equal_sets_and_deal_no_windows(spark, monkeypatch, width, at_once):
+    from plumbline.operators import identity
+
+    monkeypatch.setattr(identity, "WINDOWS", at_once)
+    texts = ["", "a" * 400, None, "ab" * 30, "é\x00x" * 40, "short", "x" * width, "\x00" * (width + 1), "".join(map(str, range(300)))]
+    rows = [(i // 2, t) for i, t in enumerate(texts)] + [(None, "null key, " * 9), (0, "a" * 20 + "b" * 20)]
+    want = {}
+    for k, t in rows:
+        raw = (t or "").encode()
+        want.setdefault(k, []).extend(raw[i : i + width] for i in range(len(raw) - width + 1))
+    got = identity.window_counts(spark.createDataFrame(rows, "k int, t string"), "k", "t", width)
+    assert {r["k"]: (r["n"], r["n_distinct"]) for r in got.collect()} == {k: (len(w), len(set(w))) for k, w in want.items() if w}
+    assert "Generate" not in got._jdf.queryExecution().toString()  # no row for each window
+
+
+def test_windows_whose_hashes_meet_stay_apart(monkeypatch):
+    from plumbline.operators import identity
+
+    monkeypatch.setattr(identity, "mixed", lambda columns: np.zeros(len(columns[0]), np.uint64))
+    n, distinct = identity.count_windows([b"abcdabcdabcdabcdabcd", b"x" * 18, b"abcdabcdabcdabcdabcd"], [0, 1, 1], 16)
+    assert n.tolist() == [5, 8] and distinct.tolist() == [4, 5]
