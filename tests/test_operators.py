@@ -337,3 +337,18 @@ def test_windows_whose_hashes_meet_stay_apart(monkeypatch):
     monkeypatch.setattr(identity, "mixed", lambda columns: np.zeros(len(columns[0]), np.uint64))
     n, distinct = identity.count_windows([b"abcdabcdabcdabcdabcd", b"x" * 18, b"abcdabcdabcdabcdabcd"], [0, 1, 1], 16)
     assert n.tolist() == [5, 8] and distinct.tolist() == [4, 5]
+
+
+#: Queries whose cluster sums once went through the driver.
+BOOTSTRAPS = ["bs3_example_bootstrap"]
+
+
+@pytest.mark.parametrize("name", BOOTSTRAPS)
+def test_only_curves_reach_the_driver(spark, monkeypatch, name):
+    from plumbline.plans import registry
+
+    frame, taken = type(spark.range(1)), []
+    put = frame.toArrow
+    monkeypatch.setattr(frame, "toArrow", lambda self: taken.append(len(out := put(self))) or out)
+    registry.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert max(taken) <= 8  # roles by rungs; a cluster each before
