@@ -340,7 +340,7 @@ def test_windows_whose_hashes_meet_stay_apart(monkeypatch):
 
 
 #: Queries whose cluster sums once went through the driver.
-BOOTSTRAPS = ["bs3_example_bootstrap", "bs6_rounded_slopes", "bs7_paired_lead"]
+BOOTSTRAPS = ["bs3_example_bootstrap", "bs6_rounded_slopes", "bs7_paired_lead", "bs9_seed_stability"]
 
 
 @pytest.mark.parametrize("name", BOOTSTRAPS)
