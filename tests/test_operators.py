@@ -340,7 +340,7 @@ def test_windows_whose_hashes_meet_stay_apart(monkeypatch):
 
 
 #: Queries whose cluster sums once went through the driver.
-BOOTSTRAPS = ["bs3_example_bootstrap", "bs6_rounded_slopes", "bs7_paired_lead", "bs9_seed_stability", "vc22_two_clause_curve", "bs8_mean_interval"]
+BOOTSTRAPS = ["bs3_example_bootstrap", "bs6_rounded_slopes", "bs7_paired_lead", "bs9_seed_stability", "vc22_two_clause_curve", "bs8_mean_interval", "vc23_difference_reading"]
 
 
 @pytest.mark.parametrize("name", BOOTSTRAPS)
