@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.operators import resampling as B
-from plumbline.plans.inputs import PREDICTIONS, predictions, read, scores, scores_sql
+from plumbline.plans.inputs import PREDICTIONS, predictions, read, score_cells, scores, scores_sql
 from plumbline.plans.registry import query
 
 #: Fixed value: resamples of an interval.
@@ -91,7 +91,7 @@ LEAD = "d AS (SELECT seed, n_units, b, max(mean) FILTER (role = 'model') - max(m
 
 @query("bs7_paired_lead", f"WITH {sql(ROLES)}, {LEAD} SELECT n_units, round(avg(d), 6) AS lead, {CI.format('d')}, round(avg((d > 0)::INT), 6) AS share_above FROM d GROUP BY 1")
 def bs7(spark, d):
-    m = B.resampled_means(scores(spark, d, ROLES), "g", ["role", "n_units"], N_BOOT, [0])
+    m = B.resampled_means(score_cells(spark, d, ROLES), "g", ["role", "n_units"], N_BOOT, [0])
     return rounded(B.lead(m, "role", "model", "tree", ["n_units"]))
 
 

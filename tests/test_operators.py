@@ -305,6 +305,55 @@ def test_packed_sums_agree_with_a_plain_bootstrap(spark, monkeypatch, slice_rows
         assert got == want
 
 
+def test_score_kernel_gives_what_draw_gives(spark, tmp_path):
+    import hashlib
+
+    from plumbline.functions.portable import draw, number_hashes
+    from plumbline.plans import inputs
+
+    ids = [None, 0, 1, 9, 10, 99, 2**31, 2**32, 10**18, 2**63 - 1, -1, -10, -(2**63), *range(995, 1005)]
+    for prefixes in (["model|0", "tree|3"], ["x" * 34], ["y" * 60]):  # the last needs two blocks
+        want = [[int(hashlib.md5(f"{p}|{i}".encode()).hexdigest()[:15], 16) for i in ids[1:]] for p in prefixes]
+        assert number_hashes(prefixes, np.array(ids[1:], np.int64)).tolist() == want
+    o = spark.createDataFrame([(i, k, "5") for k, i in enumerate(ids)], "o_orderkey long, o_custkey long, o_orderpriority string")
+    o.write.parquet(f"{tmp_path}/orders.parquet")
+    s = inputs.scores(spark, str(tmp_path), ("model", "tree"))
+    k, i = F.round(F.log10("n_units")).cast("int") - 2, (F.col("role") == "tree").cast("int")
+    wrong = s.where(F.col("correct") != (draw(100, F.col("role"), k, F.col("row_id")) < 20 + k * 12 - i * 4).cast("int"))
+    assert s.count() == 8 * len(ids) and wrong.count() == 0
+
+
+@pytest.mark.parametrize("name", ["bs7_paired_lead"])
+def test_bootstraps_of_all_curves_make_no_row_for_each_curve(spark, monkeypatch, name):
+    from plumbline.plans import registry
+
+    class Stop(Exception):
+        pass
+
+    def stop(wide):
+        raise Stop(wide._jdf.queryExecution().optimizedPlan().toString())
+
+    monkeypatch.setattr(resampling, "packed", stop)
+    with pytest.raises(Stop) as held:
+        registry.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert "Generate" not in str(held.value) and "md5" not in str(held.value)
+
+
+def test_cells_agree_with_their_long_form(spark):
+    items = spark.createDataFrame([(None if i % 41 == 40 else i % 41, (i * 7919) % 16) for i in range(300)], "g long, bits long")
+    cells = resampling.Cells(items, {"role": "string", "n": "long"}, [("a", 1), ("a", 2), ("b", 1), ("b", 2)])
+    ask = lambda x: sorted(map(tuple, resampling.resampled_means(x, "g", ["role", "n"], 20, [0, 5]).collect()))
+    assert len(ask(cells)) == 160 and ask(cells) == ask(cells.long())
+
+
+def test_small_counters_that_run_over_are_counted_anew(monkeypatch):
+    n = 300
+    table = np.arange(2 * n, dtype=np.float64).reshape(n, 2)
+    p = resampling.Patterns([{"part": 0, "slice": 0, "type": "<f8", "sums": table.tobytes(), "codes": np.arange(n, dtype=np.uint16).tobytes()}], 1)
+    monkeypatch.setattr(resampling, "drawn", lambda seed, b, slots, n: np.zeros(len(slots), np.int64))
+    assert p.codes is None and p.counts(0, 0, np.zeros(n, np.uint32)).tolist() == [n] + [0] * (n - 1)
+
+
 def test_no_sums_of_a_bootstrap_go_through_the_driver(spark, monkeypatch):
     taken = []
     for name in ("toArrow", "collect", "toPandas"):
