@@ -81,7 +81,7 @@ def bs5(spark, d):
 
 @query("bs6_rounded_slopes", f"WITH {sql(ROLES)}, s AS (SELECT b, role, regr_slope(round(mean, 4), log10(n_units)) AS slope FROM means GROUP BY ALL) SELECT role, round(avg(slope), 4) AS slope, round(quantile_cont(slope, 0.025), 4) AS ci_low, round(quantile_cont(slope, 0.975), 4) AS ci_high FROM s GROUP BY 1")
 def bs6(spark, d):
-    s = B.bootstrap_slopes(scores(spark, d, ROLES), "g", ["role"], N_BOOT, [0], 4)
+    s = B.bootstrap_slopes(score_cells(spark, d, ROLES), "g", ["role"], N_BOOT, [0], 4)
     out = s.groupBy("role").agg(F.avg("slope").alias("slope"), *B.interval("slope"))
     return out.select("role", *[F.round(c, 4).alias(c) for c in ("slope", "ci_low", "ci_high")])  # a mean at a rounding edge may differ by engine
 
