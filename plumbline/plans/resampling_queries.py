@@ -106,7 +106,7 @@ SEEDS = tuple(range(20))
 
 @query("bs9_seed_stability", f"WITH {sql(ROLES, seeds=SEEDS)}, {LEAD}, i AS (SELECT seed, n_units, quantile_cont(d, 0.025) AS lo, quantile_cont(d, 0.975) AS hi FROM d GROUP BY 1, 2), v AS (SELECT n_units, seed, CASE WHEN lo > 0 THEN 'above' WHEN hi < 0 THEN 'below' ELSE 'not_resolved' END AS v FROM i) SELECT n_units, count(*) AS n_seeds, count(DISTINCT v) AS n_readings, count(*) FILTER (v <> first) AS n_disagree FROM (SELECT *, arg_min(v, seed) OVER (PARTITION BY n_units) AS first FROM v) GROUP BY 1")
 def bs9(spark, d):
-    m = B.resampled_means(scores(spark, d, ROLES), "g", ["role", "n_units"], N_BOOT, list(SEEDS))
+    m = B.resampled_means(score_cells(spark, d, ROLES), "g", ["role", "n_units"], N_BOOT, list(SEEDS))
     i = B.lead(m, "role", "model", "tree", ["seed", "n_units"]).withColumn("v", B.reading(F.col("ci_low"), F.col("ci_high")))
     per = i.groupBy("n_units").agg(F.count("*").alias("n_seeds"), F.count_distinct("v").alias("n_readings"), F.min_by("v", "seed").alias("first"), F.collect_list("v").alias("vs"))
     return per.select("n_units", "n_seeds", "n_readings", F.size(F.filter("vs", lambda v: v != F.col("first"))).cast("long").alias("n_disagree"))
