@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import decontam, langid, linededup, packing, simhash
-from plumbline.llm.common import fresh, materialise, table
+from plumbline.llm.common import fresh, materialise, small_batches, table
 
 #: A document goes if no language has this share of its letters.
 MIN_LANGUAGE_SHARE = 1 / 3
@@ -18,6 +18,7 @@ MIN_LANGUAGE_SHARE = 1 / 3
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters, or of which no language has a third, go."""
+    small_batches(spark)
     model = langid.learn(langid.learn_rows(docs))
     if not model.languages:  # nothing to judge by, so only texts without letters go
         return langid.lettered(docs)
@@ -45,6 +46,7 @@ def without(docs: DataFrame, keys: DataFrame, how: str = "left_anti") -> DataFra
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (5-word shingles, similarity 0.8) one document stays: the one of
     least doc_id (null last), of those that share it the one of least text hash, and of equal rows one."""
+    small_batches(spark)
     groups = materialise(simhash.similar_groups(docs.select("doc_id", "text")), "groups")
     first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("f"))
     stay = materialise(first.select("f.doc_id", "f.text_hash"), "stay")
@@ -62,6 +64,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a window of a benchmark item go."""
+    small_batches(spark)
     found = decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
     hit = materialise(found.where("n_hit > 0").select("doc_id", "text_hash").distinct(), "contaminated")
     return without(docs, hit)

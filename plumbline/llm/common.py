@@ -20,6 +20,16 @@ from pyspark.sql import DataFrame, SparkSession
 #: Bytes of text that one kernel call works on (a longer single text makes a call of its own).
 SLICE_BYTES = 4 << 20
 U64 = np.uint64
+#: Rows of an Arrow batch where whole texts go to Python and back: Spark's 10,000 are tens of MB, which a
+#: task holds several times outside the heap.
+TEXT_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session's Arrow batches have TEXT_ROWS rows at most."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= TEXT_ROWS:
+        spark.conf.set(name, str(TEXT_ROWS))
 
 
 def shared_dir(spark: SparkSession) -> str:

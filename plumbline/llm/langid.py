@@ -37,6 +37,8 @@ SWITCH_PENALTY = 3.0
 #: A script belongs to a language if at least this share of its training words is written in it.
 SCRIPT_SHARE = 0.01
 CACHE_WORDS = 300_000
+#: Bytes of text that are labelled at once: their words' n-grams take a hundred times as much.
+LABEL_BYTES = 1 << 20
 UND = "und"
 #: First code points of script ranges, and their names.
 SCRIPTS = [
@@ -221,7 +223,7 @@ def identify(docs: DataFrame, model: Model, added: list[str] | tuple[str, ...] =
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
         cache = WordScores(model)
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, size=LABEL_BYTES):
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
             preds, shares, spans = [], [], []
             found = label_texts(texts, cache) if model.languages else [(np.zeros(0, np.int64),) * 2] * len(texts)

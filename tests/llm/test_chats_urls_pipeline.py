@@ -185,3 +185,20 @@ def test_library_stands_without_this_subpackage():
             if n.endswith(".py"):
                 with open(os.path.join(folder, n)) as f:
                     assert "plumbline.llm" not in f.read(), n
+
+
+def test_texts_go_to_python_in_small_batches(spark):
+    import pyarrow as pa
+    from plumbline.llm.common import TEXT_ROWS
+
+    import corpus_pipeline
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        docs = spark.range(50).selectExpr("id as doc_id", "'some words here' as text", "cast(null as string) as lang")
+        assert corpus_pipeline.language_id(spark, docs, "").count() == 50
+        rows = spark.range(0, 3000, 1, 1).mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([len(b)])], names=["n"]) for b in batches), "n long").collect()
+        assert sum(r["n"] for r in rows) == 3000 and max(r["n"] for r in rows) <= TEXT_ROWS
+    finally:
+        spark.conf.set(name, before)
